@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact_dedup, near_dedup
+from tesserae.llm import exact_dedup, near_dedup, quality, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    """(doc_id, start_word, end_word, n_words) of every stretch of 50 words or more that occurs twice in the documents."""
+    return substring_dedup.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     """(doc_id, keeper_id) of each document that repeats an earlier text; the lower half of the ids is the snapshot."""
     return exact_dedup.exact_duplicates(*exact_dedup.halves(_table(spark, sf_dir, "documents")))
@@ -19,6 +24,16 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    """(doc_id, score, keep) of every document."""
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark, sf_dir):
+    """(doc_id, score) of the documents that the model finds toxic, out of all."""
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = """
 SELECT doc_id, keeper_id FROM (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keeper_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
@@ -27,7 +42,13 @@ SELECT doc_id, keeper_id FROM (
 
 
 def queries():
-    return {"op2_exact_dedup": op2_exact_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql():
