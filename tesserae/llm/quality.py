@@ -25,7 +25,7 @@ LABELLED, POOL = 6_000, 3_000
 ROUNDS = 3
 WORD_BITS, META_BITS = 10, 10
 #: Documents of a lower score are rejected.
-KEEP = 0.15
+KEEP = 0.05
 
 _kinds = np.zeros(256, np.int8)
 _kinds[tx.SPACES] = 1
