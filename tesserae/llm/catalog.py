@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact_dedup, near_dedup, quality, substring_dedup, toxicity
+import corpus_pipeline
+from tesserae.llm import bpe, exact_dedup, fingerprints, near_dedup, packing, quality, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -19,9 +20,9 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(*exact_dedup.halves(_table(spark, sf_dir, "documents")))
 
 
-def op9_minhash_near_dedup(spark, sf_dir):
-    """(doc_id, group_id) of each document that has a near copy."""
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+def op3_bpe(spark, sf_dir):
+    """(doc_id, n_tokens, token_ids, exact) of every document."""
+    return bpe.encoded(_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_classifier(spark, sf_dir):
@@ -29,6 +30,32 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark, sf_dir):
+    """(doc_id, n_tokens) of every document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark, sf_dir):
+    """(doc_id, block_size, signature, double_signature, group_id) of every document."""
+    return fingerprints.grouped(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark, sf_dir):
+    """(doc_id, part, start_token, n_tokens, cost, sequence_id) of every part of every document."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark, sf_dir):
+    """(page_id, host, n_labelled, bad_rate, upper, keep) of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.scored_urls(pages, url_filter.page_outcomes(pages, _table(spark, sf_dir, "labels")))
+
+
+def op9_minhash_near_dedup(spark, sf_dir):
+    """(doc_id, group_id) of each document that has a near copy."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     """(doc_id, score) of the documents that the model finds toxic, out of all."""
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -40,16 +67,24 @@ SELECT doc_id, keeper_id FROM (
 ) WHERE doc_id <> keeper_id
 """
 
+QUERIES = (
+    op1_substring_dedup,
+    op2_exact_dedup,
+    op3_bpe,
+    op4_quality_classifier,
+    op5_token_counts,
+    op6_fingerprints,
+    op7_packing,
+    op8_url_filter,
+    op9_minhash_near_dedup,
+    op10_toxicity,
+)
+
 
 def queries():
-    return {
-        "op1_substring_dedup": op1_substring_dedup,
-        "op2_exact_dedup": op2_exact_dedup,
-        "op4_quality_classifier": op4_quality_classifier,
-        "op9_minhash_near_dedup": op9_minhash_near_dedup,
-        "op10_toxicity": op10_toxicity,
-    }
+    return {q.__name__: q for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": OP2_SQL}
+    every = {"op2_exact_dedup": OP2_SQL, "op8_url_filter": url_filter.sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in every.items() if text is not None}
