@@ -1,0 +1,56 @@
+"""Pairs of like memories, and which of them to merge."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae import schema as S
+from tesserae.functions import scoring, vectors
+from tesserae.functions import text as tx
+from tesserae.functions.columns import once
+
+
+def prepared(memories: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(id, type, features, embedding): what a comparison needs, worked out once a memory."""
+    words = once(memories, "id", "type", words=tx.words(F.col("content")))
+    light = once(words, "id", "type", features=tx.features_of(F.col("words")))
+    return light.join(embeddings.select("id", "embedding"), "id", "left")
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    a, b = F.col("a.embedding"), F.col("b.embedding")
+    both = (F.size(a) > 0) & (F.size(b) > 0) & (F.size(a) == F.size(b))
+    alike = F.when(both, F.greatest(F.lit(0.0), vectors.cosine(a, b)))
+    rows = pairs.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), tx.jaccard(F.col("a.features"), F.col("b.features")).alias("jaccard"), alike.alias("cosine"))
+    score, threshold = scoring.merge_score(F.col("jaccard"), F.col("cosine"))
+    rows = rows.withColumn("score", score).filter(F.col("score") >= threshold)
+    return rows.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "jaccard", "cosine", "score")
+
+
+def _best(rows: DataFrame, most: int | None) -> DataFrame:
+    rows = rows.orderBy(F.desc(F.round("score", 12)), "a", "b")
+    return rows if most is None else rows.limit(most)
+
+
+def merge_candidates(memories: DataFrame, most: int | None = S.MERGE_PAIRS) -> DataFrame:
+    """(a, b, jaccard, cosine, score): the most alike pairs of one type among prepared memories."""
+    pairs = memories.alias("a").join(memories.alias("b"), (F.col("a.type") == F.col("b.type")) & (F.col("a.id") < F.col("b.id")))
+    return _best(_compared(pairs), most)
+
+
+def merge_candidates_between(sources: DataFrame, targets: DataFrame, most: int | None = S.MERGE_PAIRS) -> DataFrame:
+    """The same for pairs of a source and a target; a pair that is both ways round counts once."""
+    pairs = targets.alias("a").join(sources.alias("b"), (F.col("a.type") == F.col("b.type")) & (F.col("a.id") != F.col("b.id")))
+    return _best(_compared(pairs).dropDuplicates(["a", "b"]), most)
+
+
+def disjoint(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The pairs, in order, of which no earlier one took an end."""
+    used: set[str] = set()
+    out = []
+    for a, b in pairs:
+        if a != b and a not in used and b not in used:
+            out.append((a, b))
+            used |= {a, b}
+    return out
