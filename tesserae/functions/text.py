@@ -161,3 +161,8 @@ def has_event_token(body: Column, token: Column) -> Column:
 def language_of(profile: Column) -> Column:
     """The first word behind 'Kielet:', 'Language:' or 'Languages:' in either case, or an empty text."""
     return F.regexp_replace(F.regexp_extract(profile, r"(?i)(?:Kielet|Languages?)\s*[:\uFF1A]\s*(\S+)", 1), "[,;]$", "")
+
+
+def two_places(x: Column) -> Column:
+    """A number with two decimals; halves as they are stored go up."""
+    return F.format_string("%.2f", F.floor(x * 100 + 0.5) / 100)

@@ -51,8 +51,8 @@ def dot(store: Store) -> DataFrame:
     """(part, line): the graph in DOT, a line a row; in the order of part and line it is a file."""
     label = tx.dot_label(tx.shortened(F.col("content"), 30))
     short = F.substring("id", 1, 8)
-    node = F.concat(F.lit('  "'), short, F.lit('" [label="'), short, F.lit("\\n"), F.when(F.col("consolidated"), "C").otherwise("W"), F.lit(" str="), F.format_number("strength", "0.00"), F.lit("\\n"), label, F.lit('"];'))
-    edge = F.concat(F.lit('  "'), "a", F.lit('" -- "'), "b", F.lit('" [label="'), F.format_number("weight", "0.00"), F.lit('"];'))
+    node = F.concat(F.lit('  "'), short, F.lit('" [label="'), short, F.lit("\\n"), F.when(F.col("consolidated"), "C").otherwise("W"), F.lit(" str="), tx.two_places(F.col("strength")), F.lit("\\n"), label, F.lit('"];'))
+    edge = F.concat(F.lit('  "'), "a", F.lit('" -- "'), "b", F.lit('" [label="'), tx.two_places(F.col("weight")), F.lit('"];'))
     nodes = store.memories.select(F.lit(1).alias("part"), node.alias("line"))
     edges = graph_edges(store).select(F.lit(2).alias("part"), edge.alias("line"))
     frame = store.spark.createDataFrame([(0, "graph associations {\n  node [shape=box, style=rounded];"), (3, "}")], "part int, line string")

@@ -264,9 +264,9 @@ QUERIES = {
     "wn_history": (history, sql(f"SELECT 'created' AS event, {iso('created_at')} AS at, 'source=' || source || ', type=' || type AS detail FROM t_mem WHERE doc_id = one.one UNION ALL SELECT 'attributed', {iso('created_at')}, evidence || ' conf=' || confidence::VARCHAR || ' msg=' || message_id[:20] FROM t_att, one WHERE memory_id = one.id UNION ALL SELECT 'exposed', {iso('created_at')}, mode || ' turn=' || turn_id[:20] FROM t_exp, one WHERE memory_id = one.id".replace("FROM t_mem WHERE doc_id = one.one", "FROM t_mem JOIN one USING (id)"), one="SELECT sha256(text) AS id FROM documents WHERE doc_id = 1")),
     "cq_graph": (graph_export, sql("SELECT memory_a[:8] AS a, memory_b[:8] AS b, round(weight, 3) AS weight FROM t_edge")),
     "cq_graph_dot": (graph_dot, sql("""SELECT 0 AS part, 'graph associations {' || chr(10) || '  node [shape=box, style=rounded];' AS line UNION ALL SELECT 3, '}'
-        UNION ALL SELECT 1, '  "' || id[:8] || '" [label="' || id[:8] || '\\n' || CASE WHEN consolidated THEN 'C' ELSE 'W' END || ' str=' || format('{:.2f}', strength) || '\\n' || replace(replace(replace(CASE WHEN length(content) > 30 THEN content[:27] || '...' ELSE content END, '\\', '\\\\'), chr(10), '\\n'), '"', '\\"') || '"];' FROM t_mem
-        UNION ALL SELECT 2, '  "' || memory_a[:8] || '" -- "' || memory_b[:8] || '" [label="' || format('{:.2f}', round(weight, 3)) || '"];' FROM t_edge""")),
-    "fn_context_lines": (context_lines, sql("""SELECT '- [' || id[:8] || '|' || type || '|' || CASE WHEN doc_id % 4 = 1 THEN strftime(temporal_anchor, '%Y-%m-%d') ELSE 'strength=' || format('{:.2f}', strength) END || '] "' || CASE WHEN length(content) > 200 AND doc_id % 4 <> 1 THEN content[:197] || '...' ELSE content END || '"' AS line FROM (FROM t_mem WHERE strength > 0.05 ORDER BY strength DESC, created_at DESC, id LIMIT 20)""")),
+        UNION ALL SELECT 1, '  "' || id[:8] || '" [label="' || id[:8] || '\\n' || CASE WHEN consolidated THEN 'C' ELSE 'W' END || ' str=' || format('{:.2f}', floor(strength * 100 + 0.5) / 100) || '\\n' || replace(replace(replace(CASE WHEN length(content) > 30 THEN content[:27] || '...' ELSE content END, '\\', '\\\\'), chr(10), '\\n'), '"', '\\"') || '"];' FROM t_mem
+        UNION ALL SELECT 2, '  "' || memory_a[:8] || '" -- "' || memory_b[:8] || '" [label="' || format('{:.2f}', floor(round(weight, 3) * 100 + 0.5) / 100) || '"];' FROM t_edge""")),
+    "fn_context_lines": (context_lines, sql("""SELECT '- [' || id[:8] || '|' || type || '|' || CASE WHEN doc_id % 4 = 1 THEN strftime(temporal_anchor, '%Y-%m-%d') ELSE 'strength=' || format('{:.2f}', floor(strength * 100 + 0.5) / 100) END || '] "' || CASE WHEN length(content) > 200 AND doc_id % 4 <> 1 THEN content[:197] || '...' ELSE content END || '"' AS line FROM (FROM t_mem WHERE strength > 0.05 ORDER BY strength DESC, created_at DESC, id LIMIT 20)""")),
     "fn_sleep_debt": (sleep_debt, sql("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN doc_id % 3 > 0 THEN 'never' ELSE '' END WHEN created_at < TIMESTAMP '2024-01-30 00:00:00' THEN 'overdue' ELSE '' END AS debt FROM t_mem")),
     "fn_import_strength": (import_strengths, sql("SELECT doc_id, round(CASE WHEN temporal_anchor IS NULL OR temporal_anchor >= DATE '2024-02-01' THEN 1 ELSE greatest(0.05, 0.977::DOUBLE ** date_diff('day', temporal_anchor, TIMESTAMP '2024-02-01')) END, 6) AS strength FROM t_mem")),
     "cq_temporal_transition": (due_later, sql(f"SELECT doc_id, CASE WHEN temporal_state = 'future' AND temporal_anchor <= {NOW} THEN 'present' WHEN temporal_state = 'present' AND temporal_anchor <= {NOW} - INTERVAL 1 DAY THEN 'past' ELSE temporal_state END AS temporal_state FROM t_mem")),

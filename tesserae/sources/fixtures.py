@@ -119,7 +119,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains: every third document points to the next such one, up to the next multiple of 30."""
     m = ids(spark, sf_dir)
     old = m.filter("doc_id % 3 = 0 and doc_id % 30 <> 0")
-    new = m.select((F.col("doc_id") + 3).alias("doc_id"), F.col("memory_id").alias("new_id"))
+    new = m.select((F.col("doc_id") - 3).alias("doc_id"), F.col("memory_id").alias("new_id"))
     return old.join(new, "doc_id").select(F.col("memory_id").alias("old_id"), "new_id", F.lit("merged").alias("reason"), F.lit(SEED_UNTIL).cast("timestamp").alias("created_at"))
 
 
