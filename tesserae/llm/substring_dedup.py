@@ -3,10 +3,11 @@
 Winnowing comes first and loses nothing: of the GRAM-word runs in a passage of LENGTH words the least hash is always
 picked, so two occurrences of a passage share a picked hash at one place. Only stretches of LENGTH words around
 hashes that repeat (regions) go on. Identical regions fold into one; where nothing but their copies shares their
-hashes they need no search. Each other region has a home shard, by its least shared hash, whose index holds it, and
-streams to every shard that is home to a region of a shared hash, cut to the surroundings of those hashes. Shards
-hold about SHARD_WORDS words, so their number follows the text that repeats and an index fits a worker; the stretches
-of a document found in different shards unite to those that one index of the whole corpus would give.
+hashes they need no search. Each other region goes to the shard of each hash that it shares, cut to the surroundings of
+the hashes of that shard: what is sent is a few times the text that repeats, however many documents share a hash. A
+shard's index holds the distinct stretches that came to it, and each of them streams through it. Shards get about
+SHARD_WORDS words, so their number follows the text that repeats and an index fits a worker; the stretches of a document
+found in different shards unite to those that one index of the whole corpus would give.
 
 Words are maximal runs without ASCII white space, compared in 31 bits of their hashes inside a shard: for a false match
 LENGTH of them in a row would have to collide.
@@ -27,7 +28,9 @@ from tesserae.session import dropped, written
 
 LENGTH = 50
 GRAM = 8
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
+#: Words of streams that are searched at a time.
+BLOCK_WORDS = 400_000
 #: Starts of passages in one search; longer streams are cut with an overlap of LENGTH - 1 words, which loses nothing.
 CHUNK = 256
 
@@ -122,59 +125,62 @@ def regions(marked: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def shipped(routed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(shard, home, doc, start, words) of routed regions (doc, start, n, words, home, routes: array of (shard, places))."""
+    """(shard, doc, start, words) of routed regions (doc, start, n, words, routes: array of (shard, places))."""
     around = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                doc, start, n, words, home, routes = row
+            out = [[] for _ in range(4)]
+            for doc, start, n, words, routes in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 words = np.frombuffer(words, np.int32)
                 for r in routes:
                     at = np.sort(np.array(r["places"], np.int64))
                     for b, e in zip(*united(np.maximum(at - around, 0), np.minimum(at + length, n)), strict=True):
-                        for k, x in enumerate((r["shard"], r["shard"] == home, doc, start + int(b), words[b:e].tobytes())):
+                        for k, x in enumerate((r["shard"], doc, start + int(b), words[b:e].tobytes())):
                             out[k].append(x)
-            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["shard", "home", "doc", "start", "words"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["shard", "doc", "start", "words"])
 
-    return routed.select("doc", "start", "n", "words", "home", "routes").mapInArrow(run, "shard int, home boolean, doc long, start int, words binary")
+    return routed.select("doc", "start", "n", "words", "routes").mapInArrow(run, "shard int, doc long, start int, words binary")
 
 
 def matched(streams: DataFrame, length: int, earlier: bool) -> DataFrame:
-    """(doc, start, end): the stretches of the streams of each shard that its index holds."""
+    """(doc, start, end): the stretches of the streams of each shard that its index holds twice, or before them."""
 
     def run(t: pa.Table) -> pa.Table:
-        home = t.column("home").to_numpy(zero_copy_only=False)
         doc, start = t.column("doc").to_numpy(), t.column("start").to_numpy().astype(np.int64)
-        order = np.lexsort((start, doc, ~home))
-        home, doc, start = home[order], doc[order], start[order]
-        words = t.column("words").combine_chunks().take(pa.array(order))
-        data, offsets = tx.flat(words)
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        data, offsets = tx.flat(t.column("words").combine_chunks().take(pa.array(order)))
         words, offsets = data.view(np.int32), offsets // 4
-        m = int(home.sum())
-        index = Matcher((words[: offsets[m]], offsets[: m + 1]), length, earlier)
-        # streams in chunks
         size = np.diff(offsets)
-        pieces = np.maximum(1, -(-(size - length + 1) // CHUNK))
-        of = np.repeat(np.arange(len(size)), pieces)
+        # equal streams: the first of them stands for all
+        names = tx.span_hashes(tx.prefix_sums(words.astype(np.uint32).astype(np.uint64)), offsets[:-1], offsets[1:])
+        _, first, copy, copies = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        own = first[copy] == np.arange(len(doc))
+        known = (~own if earlier else copies[copy] > 1) & (size >= length)
+        found = [(doc[known], start[known], start[known] + size[known])]
+        segments = np.flatnonzero(own)
+        where = np.r_[0, np.cumsum(size[segments])]
+        index = Matcher((words[np.arange(where[-1]) + np.repeat(offsets[segments] - where[:-1], size[segments])], where), length, earlier)
+        # the streams that are left, in chunks
+        asked = np.flatnonzero(own & ~known & (size >= length))
+        place = index.starts[np.searchsorted(segments, asked)]
+        pieces = -(-(size[asked] - length + 1) // CHUNK)
+        of = np.repeat(np.arange(len(asked)), pieces)
         skip = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CHUNK
-        stop = np.minimum(skip + CHUNK + length - 1, size[of])
-        begin = offsets[of] + skip
-        count = stop - skip
-        where = np.r_[0, np.cumsum(count)]
-        chunks = words[np.arange(where[-1]) + np.repeat(begin - where[:-1], count)]
-        if earlier:
-            # the place of a stream among the segments in the order of documents
-            key = np.rec.fromarrays([doc, start])
-            place = np.append(index.starts, index.size)[np.searchsorted(key[:m], key)] if m else np.zeros(len(doc), np.int64)
-            bound = place[of] + np.where(home[of], skip, 0)
-            k, b, e = index.stretches(chunks, where, home[of].astype(np.int64), bound, home[of].astype(np.int64))
-        else:
-            k, b, e = index.stretches(chunks, where, home[of].astype(np.int64))
-        left = start[of] + skip
-        return pa.table({"doc": doc[of[k]], "start": (left[k] + b).astype(np.int32), "end": (left[k] + e).astype(np.int32)})
+        count = np.minimum(skip + CHUNK + length - 1, size[asked[of]]) - skip
+        begin, bound, one = offsets[asked[of]] + skip, place[of] + skip, np.ones(len(of), np.int64)
+        block = np.cumsum(count) // BLOCK_WORDS
+        edges = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(of)] if len(of) else np.zeros(1, np.int64)
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            at = np.r_[0, np.cumsum(count[i:j])]
+            chunks = words[np.arange(at[-1]) + np.repeat(begin[i:j] - at[:-1], count[i:j])]
+            k, b, e = index.stretches(chunks, at, one[i:j], *((bound[i:j], one[i:j]) if earlier else ()))
+            left = (start[asked[of]] + skip)[i:j][k]
+            found.append((doc[asked[of]][i:j][k], left + b, left + e))
+        d, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"doc": d, "start": b.astype(np.int32), "end": e.astype(np.int32)})
 
     return streams.groupBy("shard").applyInArrow(run, "doc long, start int, end int")
 
@@ -216,14 +222,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, earlier: b
     marks = marks.select("doc", "start", F.col("m.fps").alias("fp"), F.col("m.places").alias("place"))
     shared = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("fp")
     active = written(marks.join(shared, "fp"), "shared-marks")
-    of_region = active.groupBy("doc", "start").agg(F.min("fp").alias("least"))
-    size = found.select("doc", "start", "n").join(of_region, ["doc", "start"], "left_semi").agg(F.sum("n")).first()[0] or 0
+    # a hash sends up to 2 * length words; the number of shards follows what is sent
+    size = active.count() * (2 * length - gram)
     shards = max(1, -(-size // shard_words))
-    homes = of_region.select("doc", "start", F.pmod("least", F.lit(shards)).cast("int").alias("home"))
-    placed = active.join(homes, ["doc", "start"])
-    goes = placed.select("fp", F.col("home").alias("shard")).distinct()
-    routes = placed.join(goes, "fp").groupBy("doc", "start", "home", "shard").agg(F.collect_set("place").alias("places"))
-    routes = routes.groupBy("doc", "start", "home").agg(F.collect_list(F.struct("shard", "places")).alias("routes"))
+    routes = active.groupBy("doc", "start", F.pmod("fp", F.lit(shards)).cast("int").alias("shard")).agg(F.collect_set("place").alias("places"))
+    routes = routes.groupBy("doc", "start").agg(F.collect_list(F.struct("shard", "places")).alias("routes"))
     routed = found.select("doc", "start", "n", "words").join(routes, ["doc", "start"])
     spans = matched(shipped(routed, length, gram), length, earlier).unionByName(whole)
     out = merged(spans)
