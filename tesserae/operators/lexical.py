@@ -113,7 +113,7 @@ def search_rows(memories: DataFrame, query: str, limit: int = 20, weights: tuple
     prefixes = {i: p for i, p in enumerate(x for g in groups for x in g) if p[-1].endswith("*")}
     if prefixes:
         ix = _with_prefixes(ix, [p[-1][:-1] for p in prefixes.values()])
-    flat = [[t if not t.endswith("*") else f"\x00{t[:-1]}" for t in p] for g in groups for p in g]
+    flat = [[t if not t.endswith("*") else f"*{t[:-1]}" for t in p] for g in groups for p in g]
     found = matches(ix, flat, weights)
     at, ok = 0, []
     for g in groups:
@@ -130,7 +130,7 @@ def _with_prefixes(ix: DataFrame, prefixes: list[str]) -> DataFrame:
     def marked(tokens: Column) -> Column:
         out = tokens
         for p in prefixes:
-            hits = F.transform(F.filter(tokens, lambda t, p=p: F.startswith(t, F.lit(p))), lambda t, p=p: F.lit(f"\x00{p}"))
+            hits = F.transform(F.filter(tokens, lambda t, p=p: F.startswith(t, F.lit(p))), lambda t, p=p: F.lit(f"*{p}"))
             out = F.concat(out, hits)
         return out
 

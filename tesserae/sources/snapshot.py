@@ -14,7 +14,7 @@ from tesserae.sources.store import Store, conformed, empty
 VERSION = 2
 #: The document's keys, and the tables that they hold.
 KEYS = {"memories": "memories", "associations": "associations", "attributions": "attributions", "exposures": "exposures", "aliases": "aliases", "state": "state"}
-TIMES = {f.name for t in S.TABLES for f in S.struct(t).fields if f.dataType.typeName() == "timestamp"}
+TIMES = {c.split()[0] for ddl in S.TABLES.values() for c in ddl.split(", ") if c.endswith(" timestamp")}
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from tesserae.plans import consolidation, context
 from tesserae.sources import markdown, retrieval_log, sessions, snapshot, store as st
 
 T0 = dt.datetime(2026, 3, 1)
-NOW = F.lit("2026-04-07 03:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2026-04-07 03:00:00").cast("timestamp")
 
 
 def memory(id, content=None, type="fact", strength=1.0, state="none", anchor=None, source="agent_tool", consolidated=False, created=T0):
@@ -40,10 +43,10 @@ def weights(edges):
 def test_two_turns_of_one_channel_make_0_0975(spark):
     x = [("s", t, m, "auto_injected", "hybrid") for t in ("t1", "t2") for m in "ab"]
     s = make(spark, [memory("a"), memory("b")], exposures=x)
-    assert weights(graph.with_co_retrievals(s.associations, s.exposures, s.memories, NOW)) == {("a", "b"): 0.0975}
+    assert weights(graph.with_co_retrievals(s.associations, s.exposures, s.memories, now())) == {("a", "b"): 0.0975}
     x[-1] = ("s", "t2", "b", "tool_get", None)
     s = make(spark, [memory("a"), memory("b")], exposures=x)
-    assert weights(graph.with_co_retrievals(s.associations, s.exposures, s.memories, NOW)) == {("a", "b"): round(1 - 0.95 * 0.85, 6)}
+    assert weights(graph.with_co_retrievals(s.associations, s.exposures, s.memories, now())) == {("a", "b"): round(1 - 0.95 * 0.85, 6)}
 
 
 def test_transitive(spark):
@@ -60,8 +63,8 @@ def test_decay_and_catch_up(spark):
     assert strengths(out) == {"w": 0.906, "c": 0.977}
     assert weights(out.associations) == {("c", "w"): 0.9}
     last = F.lit("2026-04-03 03:00:00").cast("timestamp")  # 4 days: 3 cycles
-    assert strengths(consolidation.caught_up(s, NOW, last)) == {"w": round(0.906**3, 6), "c": round(0.977**3, 6)}
-    assert strengths(consolidation.caught_up(s, NOW, None)) == {"w": 1.0, "c": 1.0}
+    assert strengths(consolidation.caught_up(s, now(), last)) == {"w": round(0.906**3, 6), "c": round(0.977**3, 6)}
+    assert strengths(consolidation.caught_up(s, now(), None)) == {"w": 1.0, "c": 1.0}
 
 
 @pytest.mark.parametrize(("mode", "confidence", "want"), [("hybrid", 0.3, 0.71), ("bm25_only", 0.3, 0.605), ("hybrid", -0.5, 0.15)])
@@ -99,7 +102,7 @@ def test_attribution_policy_is_the_sequential_one(spark):
 
 def test_merge_outcomes(spark):
     s = make(spark, [memory("a" * 64, "short", strength=0.8), memory("b" * 64, "longer text", strength=0.6), memory("c" * 64, source="consolidation", strength=0.5), memory("d" * 64), memory("x" * 64)], [("a" * 64, "x" * 64, 0.5), ("b" * 64, "x" * 64, 0.3), ("c" * 64, "x" * 64, 0.9)])
-    out, done = merging.merged(s, [("a" * 64, "b" * 64), ("b" * 64, "d" * 64), ("c" * 64, "d" * 64)], lambda a, b: ("both of " + a["id"][:1], "fact"), NOW)
+    out, done = merging.merged(s, [("a" * 64, "b" * 64), ("b" * 64, "d" * 64), ("c" * 64, "d" * 64)], lambda a, b: ("both of " + a["id"][:1], "fact"), now())
     got = strengths(out)
     assert [m.outcome for m in done] == ["new", "new"]
     assert (got["a" * 64], got["b" * 64]) == (0.24, 0.18)
@@ -120,7 +123,7 @@ def test_pruning_keeps_attributions(spark):
 def test_a_week(spark):
     day = dt.datetime(2026, 4, 6, 10)
     s = make(spark, [memory("aaaa", "likes green tea", strength=0.9, created=day), memory("bbbb", "uses postgres", strength=0.8, created=day), memory("cccc", "weak", strength=0.03, created=day), memory("dddd", "trip to Helsinki in June with the family", state="future", anchor=dt.datetime(2026, 4, 1), created=day)], exposures=[("s", "t1", "aaaa", "auto_injected", "hybrid"), ("s", "t1", "bbbb", "auto_injected", "hybrid")], attributions=[("g", "aaaa", "tool_get", 0.6, "t1")])
-    out, n = consolidation.consolidated(s, NOW)
+    out, n = consolidation.consolidated(s, now())
     assert (n.reinforced, n.decayed, n.pruned, n.transitioned, n.exposures_gc) == (1, 4, 1, 1, 2)
     got = strengths(out)
     assert got["aaaa"] == 0.906 and set(got) == {"aaaa", "bbbb", "dddd"}
@@ -138,7 +141,7 @@ def test_a_failing_merge_closes_the_run(spark):
         raise ValueError("no model")
 
     with pytest.raises(consolidation.MergeFailed) as e:
-        consolidation.consolidated(s, NOW, fail)
+        consolidation.consolidated(s, now(), fail)
     assert scans.state_value(e.value.store.state, "last_consolidation_at") is not None
 
 
@@ -170,8 +173,8 @@ def test_search_against_sqlite(spark):
 def test_recall_follows_edges(spark):
     s = make(spark, [memory("a", "green tea is best", created=dt.datetime(2026, 4, 7)), memory("b", "unrelated note"), memory("c", "weak one", strength=0.05)] + [memory(f"f{i}", f"filler {i}") for i in range(20)], [("a", "b", 0.5), ("a", "c", 0.9)])
     s = s.with_(embeddings=spark.createDataFrame([("a", [1.0, 0.0])], S.struct("embeddings")))
-    got = {r["id"]: round(r["score"], 6) for r in retrieval.recall(s, "green tea", 2, NOW, [1.0, 0.0]).collect()}
-    direct = retrieval.search(s, "green tea", 2, NOW, [1.0, 0.0]).collect()
+    got = {r["id"]: round(r["score"], 6) for r in retrieval.recall(s, "green tea", 2, now(), [1.0, 0.0]).collect()}
+    direct = retrieval.search(s, "green tea", 2, now(), [1.0, 0.0]).collect()
     assert [r["id"] for r in direct] == ["a"]
     assert set(got) == {"a", "b"} and got["b"] == round(direct[0]["score"] * 0.5 * 0.6, 6)
 
@@ -191,7 +194,7 @@ def test_features_and_candidates(spark):
     m = spark.createDataFrame([memory("a", "we went to Helsinki in the summer of 2024"), memory("b", "we went through Helsinki in the summer of 2024"), memory("c", "we went to Helsinki in the summer of 2024", "plan"), memory("d", "?"), memory("e", "!")], S.struct("memories"))
     none = spark.createDataFrame([], S.struct("embeddings"))
     got = {(r["a"], r["b"]): round(r["score"], 3) for r in similarity.merge_candidates(similarity.prepared(m, none)).collect()}
-    assert got == {("d", "e"): 1.0}
+    assert got == {("a", "b"): 0.6, ("d", "e"): 1.0}
     vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1])], S.struct("embeddings"))
     p = similarity.prepared(m, vec)
     assert ("a", "b") in {(r["a"], r["b"]) for r in similarity.merge_candidates(p).collect()}
@@ -218,14 +221,14 @@ def test_store_versions_and_snapshots(spark, tmp_path):
     again = st.write(st.read(spark, root), root)
     assert st.vacuum(spark, root) == 1 and st.read(spark, root).memories.count() == 2
     text = snapshot.document(again, "2026-04-07T00:00:00Z")
-    new = snapshot.loaded(spark, text, NOW)
-    out, n = snapshot.imported(make(spark, [memory("b", "other")]), new, NOW)
+    new = snapshot.loaded(spark, text, now())
+    out, n = snapshot.imported(make(spark, [memory("b", "other")]), new, now())
     assert n.first().asDict() == {"memories": 1, "memories_skipped": 1, "associations": 1, "attributions": 1, "exposures": 1, "aliases": 1, "state": 0}
     assert set(strengths(out)) == {"a", "b"} and weights(out.associations) == {("a", "b"): 0.25}
     with pytest.raises(ValueError):
-        snapshot.loaded(spark, '{"version": 3}', NOW)
+        snapshot.loaded(spark, '{"version": 3}', now())
     snapshot.export(again, f"{root}-json")
-    assert snapshot.read(spark, f"{root}-json", NOW).memories.count() == 2
+    assert snapshot.read(spark, f"{root}-json", now()).memories.count() == 2
 
 
 def test_log_round_trip(spark, tmp_path):
@@ -245,7 +248,7 @@ def test_markdown():
     assert got[2][2] == "## Two\n\nshort\n\n### Three\n\nend"
     assert markdown.segments("") == markdown.segments("---\na\n---\n") == []
     long = markdown.segments("# H\n" + "word " * 1000)
-    assert len(long) == 3 and all(len(c) <= 2000 for _, _, c in long) and [h for h, _, _ in long] == ["# H", None, None]
+    assert len(long) == 3 and all(len(c) <= 2000 + len("# H\n\n") for _, _, c in long) and [h for h, _, _ in long] == ["# H", None, None]
 
 
 def test_discovery(spark, tmp_path):
