@@ -49,7 +49,7 @@ def matches(ix: DataFrame, phrases: list[list[str]], weights: tuple[float, float
 
     Statistics count every row of the index; rows that have no phrase are left out.
     """
-    cells = {"d": F.size("content_tokens") + F.size("type_tokens")}
+    cells = {"d": F.col("size") if "size" in ix.columns else F.size("content_tokens") + F.size("type_tokens")}
     for i, p in enumerate(phrases):
         cells |= {f"a_{i}": places(F.col("content_tokens"), p), f"b_{i}": places(F.col("type_tokens"), p)}
     counted = once(ix, "id", **cells)
@@ -127,14 +127,15 @@ def search_rows(memories: DataFrame, query: str, limit: int = 20, weights: tuple
 def _with_prefixes(ix: DataFrame, prefixes: list[str]) -> DataFrame:
     """The index, each token that starts with a prefix followed by a mark of that prefix of its own; places stay countable."""
 
+    def hits(tokens: Column, prefix: str) -> Column:
+        # lambdas of two parameters would get an element's place as the second
+        return F.transform(F.filter(tokens, lambda t: F.startswith(t, F.lit(prefix))), lambda t: F.lit(f"*{prefix}"))
+
     def marked(tokens: Column) -> Column:
-        out = tokens
-        for p in prefixes:
-            hits = F.transform(F.filter(tokens, lambda t, p=p: F.startswith(t, F.lit(p))), lambda t, p=p: F.lit(f"*{p}"))
-            out = F.concat(out, hits)
-        return out
+        return F.concat(tokens, *(hits(tokens, p) for p in prefixes))
 
-    return ix.select("id", marked(F.col("content_tokens")).alias("content_tokens"), marked(F.col("type_tokens")).alias("type_tokens"))
+    size = (F.size("content_tokens") + F.size("type_tokens")).alias("size")
+    return ix.select("id", marked(F.col("content_tokens")).alias("content_tokens"), marked(F.col("type_tokens")).alias("type_tokens"), size)
 
 
 def parsed(query: str) -> list[list[list[str]]]:
