@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, bits: int = BITS, most: int = LABELLED, passes: int
     """(coordinate, weight) that aren't zero, of a model of labelled (doc_id, text, label in 0 and 1); -1 is the bias.
 
     At most `most` rows, in the order of a hash of doc_id, are used; ties go by doc_id, then text. Rows with a null
-    are left out. No rows or one class alone give the bias only.
+    are left out. No rows give a bias that finds nothing toxic, one class alone gives its bias only.
     """
     some = labelled.dropna(subset=["doc_id", "text", "label"]).select("doc_id", F.lower("text").alias("text"), F.col("label").cast("double").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, bits: int = BITS, most: int = LABELLED, passes: int
 
     one = some.withColumn("mix", F.xxhash64("doc_id")).groupBy(F.lit(1).alias("one"))
     out = one.applyInArrow(train, "coordinate long, weight double").toPandas()
-    return out if len(out) else pd.DataFrame({"coordinate": [-1], "weight": [0.0]})
+    return out if len(out) else pd.DataFrame({"coordinate": [-1], "weight": [-35.0]})
 
 
 def score(docs: DataFrame, model: pd.DataFrame, bits: int = BITS) -> DataFrame:
