@@ -1,8 +1,10 @@
 """Token counts of a unigram tokenizer by a Viterbi that keeps counts only: no segmentation is ever built.
 
 An Aho-Corasick automaton of the vocabulary enumerates all pieces that end at each character; the best score and the
-number of pieces on the way to it go along. A text is cut at white space and each word stands behind a word mark, so
-the best path of a text is that of its words, and each distinct word of a batch is worked out once.
+number of pieces on the way to it go along. Texts are normalized as the model file says: one mark before the text, each
+space a mark, and all other white space as it is, by its own piece or by its bytes. A text is cut only where no piece
+can lie across, before a run of marks and around newlines, so the best path of a text is that of its runs, white space
+with them, and each distinct run of a batch is worked out once.
 
 Tie rules are those of the tokenizer: scores add up from the left in double precision, a path gives way only to a
 strictly better one, and of equal paths that with the earliest start of its last piece stays. A character that is no
@@ -24,7 +26,7 @@ from tesserae.llm import text as tx
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
-#: Words whose counts a worker remembers; when there are more it starts afresh.
+#: Runs whose counts a worker remembers; when there are more it starts afresh.
 REMEMBERED = 400_000
 
 
@@ -37,7 +39,7 @@ def vocabulary(path: str = PIECES) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Numbers of pieces of words."""
+    """Numbers of pieces of runs of text."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
@@ -48,6 +50,8 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN
         self.single = {p for p, _ in pieces if len(p) == 1}
+        #: No piece has a newline, or a mark behind another character.
+        self.cuts = not any("\n" in p or MARK in p.lstrip(MARK) for p, _ in pieces)
         self.known: dict[str, int] = {}
 
     def count(self, word: str) -> int:
@@ -82,15 +86,15 @@ class Counter:
             close(at)
         return pieces[n]
 
-    def counts(self, words: list[str]) -> np.ndarray:
+    def counts(self, runs: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            n = known.get(w)
+        out = np.empty(len(runs), np.int64)
+        for i, r in enumerate(runs):
+            n = known.get(r)
             if n is None:
-                n = known[w] = self.count(MARK + w)
+                n = known[r] = self.count(r.replace(" ", MARK))
             out[i] = n
         return out
 
@@ -106,25 +110,39 @@ def counter_of(name: int, pieces: list[tuple[str, float]]) -> Counter:
     return _counters[name]
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of texts and the offsets of each text's words; a null text has none."""
+def split(texts: pa.Array, cuts: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The runs of texts, the offsets of each text's runs, and the number of newlines of each text, which no run has.
+
+    A run goes from a run of spaces or marks, or a newline, to the next; the space that the tokenizer sets before a text
+    is in its first. Null and empty texts have none. Without cuts each text is one run, newlines and all.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    found = pc.utf8_split_whitespace(texts.fill_null(""))
-    words, offsets = found.flatten(), found.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    # white space at either end leaves empty words there
-    full = pc.greater(pc.binary_length(words), 0)
+    texts = texts.fill_null("")
+    whole = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    if cuts:
+        newlines = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        # a newline before each space; those inside a run of spaces go again, in two rounds as matches can't overlap
+        marked = pc.replace_substring(pc.replace_substring(whole, MARK, " "), " ", "\n ")
+        for _ in range(2):
+            marked = pc.replace_substring(marked, " \n ", "  ")
+        found = pc.split_pattern(marked, "\n")
+        runs, offsets = found.flatten(), found.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+    else:
+        runs, offsets, newlines = whole, np.arange(len(whole) + 1), np.zeros(len(whole), np.int64)
+    # newlines at either end or next to each other leave empty runs, as do empty texts
+    full = pc.greater(pc.binary_length(runs), 0)
     if pc.all(full).as_py() is False:
         kept = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
-        words, offsets = words.filter(full), kept[offsets]
-    return words, offsets
+        runs, offsets = runs.filter(full), kept[offsets]
+    return runs, offsets, newlines
 
 
 def token_counts(docs: DataFrame, path: str = PIECES) -> DataFrame:
     """(doc_id, n_tokens) of every row of docs (doc_id, text).
 
-    Null and empty texts, and those of white space, have 0 tokens; null ids keep their count under a null id; repeated
+    Null and empty texts have 0 tokens, white space counts like any text; null ids keep their count under a null id; repeated
     rows are counted each. Other columns are not read. The vocabulary (about 1 MB, whatever the data) goes along with
     the tasks.
     """
@@ -134,16 +152,17 @@ def token_counts(docs: DataFrame, path: str = PIECES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(name, shared.value)
+        newline = counter.count("\n")
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)
             for s in tx.slices(batch.column(1), 4 * tx.SLICE_BYTES):
-                words, offsets = split(batch.column(1).slice(s.first, len(s)))
-                if not len(words):
+                runs, offsets, newlines = split(batch.column(1).slice(s.first, len(s)), counter.cuts)
+                if not len(runs):
                     continue
-                coded = words.dictionary_encode()
+                coded = runs.dictionary_encode()
                 each = counter.counts(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
                 total = np.r_[0, np.cumsum(each)]
-                out[s.first : s.first + len(s)] = np.diff(total[offsets])
+                out[s.first : s.first + len(s)] = np.diff(total[offsets]) + newlines * newline
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -37,6 +37,38 @@ def test_counts_equal_a_unigram_tokenizer(spark):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_counts_of_whole_texts_keep_white_space(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer, models, normalizers
+
+    pieces = token_counts.vocabulary()
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *((f"<0x{i:02X}>", -1e9) for i in range(256))], 0, True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    r = random.Random(6)
+    rows = ["a\nb\n\nc", "a  b", " \n ", " ", "\n", "\t", "a ", " a", "a▁b", "a▁ ▁b", "if x:\n\treturn  1\r\n", "| a |  b |\n|---|\n", "x" + " " * 40 + "y", "\r\r\n\u3000x\xa0y\n"]
+    rows += ["".join(r.choice(["the", "tokens", "12", "é", "漢", " ", "  ", "\n", "\n\n", "\t", " \r\n", "    "]) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*rows, "", None])), "doc_id long, text string")
+    got = dict(token_counts.token_counts(docs).collect())
+    floor = min(s for _, s in pieces) - token_counts.UNKNOWN
+    for i, text in enumerate(rows):
+        assert got[i] == plain_best("▁" + text.replace(" ", "▁"), dict(pieces), floor), text
+        assert got[i] == len(t.encode(text).tokens), text
+    assert got[len(rows)] == got[len(rows) + 1] == 0
+    # no run of marks here, on which merges and the scores of the file differ
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.PIECES)
+    assert [got[i] for i in range(2)] == [6, 3] == [len(sp.encode(x)) for x in rows[:2]]
+
+
+def test_counts_of_pieces_across_spaces_and_newlines():
+    import pyarrow as pa
+
+    pieces = [("▁", -2.0), ("a", -2.0), ("b", -2.0), ("a▁b", -1.0), ("\n", -2.0), ("b\n", -1.0)]
+    counter = token_counts.Counter(pieces)
+    runs, offsets, newlines = token_counts.split(pa.array(["a b\na b", "", None, "\n"]), counter.cuts)
+    assert not counter.cuts and runs.to_pylist() == [" a b\na b", " \n"] and offsets.tolist() == [0, 1, 1, 1, 2] and not newlines.any()
+    assert counter.counts(runs.to_pylist()).tolist() == [4, 2]
+
+
 def plain_best(word, pieces, floor):
     """Pieces of the best path, over all starts in order; only a strictly better one replaces."""
     n = len(word)
