@@ -89,11 +89,11 @@ def session_segments(spark, d):
 
 
 def _file(spark, d):
-    docs = fx.table(spark, d, "documents").filter("length(text) <= 1500 and text not like '%\n#%' and text not like '#%' and text not like '%```%' and text not like '%~~~%'")
+    """Each document's whole text as a file's first section, before a second one."""
+    docs = fx.table(spark, d, "documents")
     head = F.concat(F.lit("---\ntitle: x\n---\n# One "), F.col("doc_id").cast("string"), F.lit(" #\n\n"))
-    body = F.regexp_replace(F.trim("text"), r"\s+", " ")
     name = F.concat(F.lit("memory/2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit(".md"))
-    return docs.select("doc_id", F.concat(head, body, F.lit("\r\n## Two\r\n```\n# no heading\n```\n"), F.repeat(F.lit("word "), 60)).alias("text"), F.concat(F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), body.alias("body"))
+    return docs.select("doc_id", F.concat(head, "text", F.lit("\r\n## Two\r\n```\n# no heading\n```\n"), F.repeat(F.lit("word "), 60)).alias("text"), F.concat(F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"))
 
 
 def markdown_segments(spark, d):
