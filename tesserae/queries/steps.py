@@ -59,12 +59,10 @@ def promoted(spark, d):
 
 
 def merges(spark, d):
-    """Each memory of doc_id 10k+1 merged with the next one: the longer content stays."""
+    """The pairs that the candidate search finds in the whole store are merged: the longer content stays."""
     st = fx.store(spark, d)
-    m = fx.memories_with_docs(spark, d)
-    first = m.filter("doc_id % 10 = 1 and doc_id < 400").select("doc_id", F.col("id").alias("a"))
-    pairs = first.join(m.select((F.col("doc_id") - 1).alias("doc_id"), F.col("id").alias("b")), "doc_id").orderBy("doc_id")
-    out, _ = merging.merged(st, [(r["a"], r["b"]) for r in pairs.collect()], merging.longest, fx.now())
+    pairs = [(r["a"], r["b"]) for r in consolidation.candidates(st, None).select("a", "b").collect()]
+    out, _ = merging.merged(st, pairs, merging.longest, fx.now())
     rows = out.memories.select(F.lit("memory").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.round("strength", 6).alias("value"))
     return rows.union(out.aliases.filter("created_at = timestamp'2024-02-15 00:00:00'").select(F.lit("alias"), "old_id", "new_id", F.lit(0.0)))
 

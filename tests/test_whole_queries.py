@@ -1,5 +1,10 @@
 """Queries over whole tables and whole texts, held against rows worked out by hand or by brute force."""
 
+import os
+from hashlib import sha256
+
+from conftest import DATA
+
 from tesserae.queries import steps
 
 
@@ -27,3 +32,27 @@ def test_markdown_of_long_texts_headings_and_fences(spark, tmp_path):
         got.setdefault(int(r["source_file"].split("/")[0]), []).append((r["heading"], r["heading_level"], r["content"]))
     assert got == want
     assert {int(r["source_file"].split("/")[0]): r["segments"] for r in steps.file_info(spark, d).collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_merges_reach_all_ids(spark, tmp_path):
+    common = " ".join(f"word{i}" for i in range(40))
+    texts = {i: " ".join(f"own{i}x{k}" for k in range(30)) for i in range(1000, 1060)}
+    # strong memories of one type, ids 5 apart, that differ by a word
+    strong = [i for i in texts if i * 37 % 101 >= 40]
+    a, b = next((i, j) for i in strong for j in strong if j > i and (j - i) % 5 == 0)
+    texts |= {a: common, b: f"{common} more"}
+    d = written(spark, tmp_path, list(texts.items()))
+    for name in os.listdir(DATA):
+        if name != "documents.parquet":
+            os.symlink(f"{DATA}/{name}", f"{d}/{name}")
+    strength, alias = {sha256(t.encode()).hexdigest(): i * 37 % 101 / 100 for i, t in texts.items()}, set()
+    lost, kept = (sha256(texts[i].encode()).hexdigest() for i in (a, b))
+    strength[kept] = 1.0
+    if a % 4 == 2:  # it came from a consolidation, so it goes and leaves an alias
+        del strength[lost]
+        alias.add((lost, kept))
+    else:
+        strength[lost] = round(strength[lost] * 0.3, 6)
+    rows = steps.merges(spark, d).collect()
+    assert {r["a"]: r["value"] for r in rows if r["kind"] == "memory"} == strength
+    assert {(r["a"], r["b"]) for r in rows if r["kind"] == "alias"} == alias
