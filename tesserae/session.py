@@ -12,7 +12,12 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def make_importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did."""
+    """Lets Python workers import this package from where the driver did, and keeps Spark from wrong results of unions.
+
+    Spark 4.1 may take a union for partitioned by a key although adaptive execution has changed one of its sides, so that
+    a window or an aggregate over it sees the rows of one key apart.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
