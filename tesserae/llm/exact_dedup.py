@@ -167,5 +167,4 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each text, that of the smallest doc_id; null texts stay, rows of null doc_id go."""
     docs = tx.unique_documents(docs)
-    gone = exact_duplicates(*halves(docs)).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return tx.without_ids(docs, exact_duplicates(*halves(docs)).select("doc_id"))

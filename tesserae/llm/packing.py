@@ -48,7 +48,6 @@ def packed(counts: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR,
     go to a sequence as well. Equal sizes go by doc_id, then part. Rows of null doc_id or null count are left out;
     no rows give no rows. sequence_id is the group's number times 2**32 plus the sequence's in the group.
     """
-    spark = counts.sparkSession
     counts = written(counts.dropna(subset=["doc_id", "n_tokens"]), "token-counts")
     total = counts.agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
@@ -67,8 +66,6 @@ def packed(counts: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR,
         cost = linear * size + quadratic * size * size
         return pa.table({"doc_id": doc[order], "part": part[order], "start_token": start, "n_tokens": size, "cost": cost, "sequence_id": sequence})
 
-    if spark is None:
-        raise RuntimeError("no session")
     return parts.groupBy("pack").applyInArrow(run, "doc_id long, part int, start_token long, n_tokens long, cost double, sequence_id long")
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import unused, written
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
@@ -168,14 +170,24 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Ids alone are counted first, so that texts move only where an id does repeat.
     """
     docs = docs.filter(F.col(id_col).isNotNull())
-    ids = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__id")
+    key, row, n = (unused(c, docs) for c in ("id_", "row_", "n_"))
+    ids = docs.groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).select(key)
     if ids.isEmpty():
         return docs
-    once = docs.join(ids, docs[id_col] == ids["__id"], "left_anti")
+    same = F.col(id_col) == F.col(key)
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *other_columns(docs, id_col, text_col))
-    again = docs.join(ids, docs[id_col] == ids["__id"], "left_semi")
-    again = again.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
-    return once.unionByName(again)
+    # an exchange of its own: Spark 4.1 takes some unions for partitioned by id that aren't
+    again = docs.join(ids, same, "left_semi").repartition(F.col(id_col)).withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).drop(row)
+    return docs.join(ids, same, "left_anti").unionByName(again)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_anti") -> DataFrame:
+    """docs without the rows of the ids (first column of `ids`), or with `how` left_semi those alone; any columns may be there.
+
+    The ids are written first: where their files are small, Spark sends them to the documents and moves no text.
+    """
+    key = unused("id_", docs)
+    return docs.join(written(ids.select(F.col(ids.columns[0]).alias(key)), "ids"), F.col(id_col) == F.col(key), how)
 
 
 def other_columns(docs: DataFrame, *but: str) -> list[Column]:
