@@ -2,7 +2,8 @@
 
 Plan: one scan makes a signature for each document (Arrow, no row loop). Documents of equal signatures fold into
 one node before anything is compared, so thousands of copies cost one node. Band keys are counted with map-side
-combine; only keys that two nodes share bring back their nodes, and only those nodes' signatures move. Inside a
+combine; only keys that two nodes share bring back their nodes, and only those nodes' signatures move. A bucket of more than
+BLOCK nodes is compared as pairs of blocks, so no task holds more than two of them. Inside a
 bucket a breadth-first walk compares each reached node with the nodes not yet reached: the components are those of
 all pairs, without forming pairs inside a component. Components then spread by large-star and small-star rounds,
 each written to the shared folder.
@@ -24,6 +25,8 @@ SHINGLE = 3
 HASHES = 192
 ROWS = 4
 SIMILAR = 0.45
+#: Nodes of one band that are compared in one go; larger buckets are split.
+BLOCK = 4096
 
 
 def coefficients(hashes: int, seed: int = 77) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +106,7 @@ def linked(ids: np.ndarray, m: np.ndarray, similar: float) -> tuple[list[int], l
 
 
 def verified(buckets: DataFrame, similar: float) -> DataFrame:
-    """Edges (a, b) inside each bucket (key, id, sig)."""
+    """Edges (a, b) inside each bucket (key, x, y, id, sig)."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
@@ -112,7 +115,23 @@ def verified(buckets: DataFrame, similar: float) -> DataFrame:
         a, b = linked(ids[order], m[order], similar)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return buckets.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+    return buckets.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
+def in_blocks(entries: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, x, y, id): buckets of the ids of entries (id, key), each pair once, where two ids or more share a key.
+
+    Keys of the same ids make one bucket: of each key only the number of its ids and two 64-bit sums of their hashes are
+    gathered, so no bucket is ever one row. A bucket of more than `block` ids is cut by a hash of the ids into blocks of
+    about that size, and each pair of blocks (x, y) is a group of its own: every two ids of the bucket meet in one.
+    """
+    one = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("h2"))
+    kept = one.filter("n > 1").groupBy("n", "h1", "h2").agg(F.min(key).alias(key)).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    found = entries.join(kept, key).select(F.col(key).alias("key"), "id", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int").alias("own"))
+    # a block meets each other block once; one that is alone meets itself
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
+    found = found.select("key", "id", "own", other.alias("other"))
+    return found.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -143,7 +162,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("group")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("group")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the smallest doc_id of its component.
 
     Documents are near when at least `similar` of their minima over runs of `shingle` words agree and a band of
@@ -156,15 +175,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHE
     copies = signed.join(nodes.filter("n > 1"), ["s1", "s2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = signed.join(nodes.select("rep"), F.col("id") == F.col("rep"), "left_semi")
     banded = reps.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    buckets = banded.join(shared, "band").groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    buckets = buckets.select("ids").distinct().select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).distinct()
-    checked = verified(buckets.join(signed.select("id", "sig"), "id").select("key", "id", "sig"), similar)
+    buckets = in_blocks(banded, "band", block)
+    checked = verified(buckets.join(signed.select("id", "sig"), "id").select("key", "x", "y", "id", "sig"), similar)
     return components(checked.unionByName(copies)).select(F.col("id").alias("doc_id"), F.col("group").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs without the near copies of a document of a smaller doc_id: one of each group stays. Rows of null doc_id go."""
     docs = tx.unique_documents(docs)
-    gone = near_duplicates(docs, **how).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return tx.without_ids(docs, near_duplicates(docs, **how).filter("doc_id <> group_id").select("doc_id"))

@@ -108,6 +108,36 @@ def test_thousands_of_copies_and_chains_are_one_group(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_blocks_bring_every_two_ids_of_a_bucket_together(spark):
+    r = random.Random(9)
+    rows = [(1, i) for i in range(120)] + [(2, i) for i in range(120)] + [(3, i) for i in range(5)] + [(4, 7)] + [(k, r.randint(0, 300)) for k in range(10, 40) for _ in range(9)]
+    rows = sorted(set(rows))
+    got = defaultdict(set)
+    for x in near_dedup.in_blocks(spark.createDataFrame(rows, "band long, id long"), "band", 16).collect():
+        assert x["id"] not in got[x["key"], x["x"], x["y"]]
+        got[x["key"], x["x"], x["y"]].add(x["id"])
+    want = defaultdict(set)
+    for k, i in rows:
+        want[k].add(i)
+    pairs = lambda sets: {(a, b) for s in sets for a in s for b in s if a < b}
+    assert pairs(got.values()) == pairs(want.values())
+    assert max(map(len, got.values())) <= 64 and not any(k == 2 for k, *_ in got)
+
+
+def test_a_band_of_many_documents_is_split(spark):
+    n = 100_000
+    entries = spark.range(n).selectExpr("id", "5L AS band")
+    sizes = near_dedup.in_blocks(entries, "band", near_dedup.BLOCK).groupBy("key", "x", "y").count().agg(F.max("count"), F.count("*"), F.sum("count")).first()
+    blocks = -(-n // near_dedup.BLOCK)
+    assert sizes[0] <= 2.2 * near_dedup.BLOCK and sizes[1] == blocks * (blocks - 1) // 2 and sizes[2] == n * (blocks - 1)
+
+
+def test_small_blocks_give_the_same_groups(spark):
+    docs = spark.createDataFrame(near_corpus(random.Random(8)), SCHEMA)
+    groups = [{x["doc_id"]: x["group_id"] for x in near_dedup.near_duplicates(docs, block=b).collect()} for b in (2, 4096)]
+    assert groups[0] == groups[1] and groups[0]
+
+
 # substrings
 
 
@@ -153,11 +183,11 @@ def substring_corpus(seed, length):
 
 
 def test_substrings_equal_brute_force(spark):
-    for seed, length, gram, shard in ((1, 20, 5, 200), (2, 12, 4, 10_000), (3, 20, 5, 50)):
+    for seed, length, gram, shard, hot in ((1, 20, 5, 200, 10**9), (2, 12, 4, 10_000, 3), (3, 20, 5, 50, 1)):
         rows = substring_corpus(seed, length)
         docs = spark.createDataFrame(rows + [(None, rows[3][1]), (90, None)], SCHEMA).withColumn("start", F.lit("x")).repartition(3)
         for earlier in (False, True):
-            got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in substring_dedup.repeated(docs, length, gram, earlier, shard).collect()}
+            got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in substring_dedup.repeated(docs, length, gram, earlier, shard, hot).collect()}
             want, _ = repeats(rows, length, earlier)
             assert got == want, (seed, earlier, got ^ want)
 
@@ -179,6 +209,33 @@ def test_cut_leaves_the_first(spark):
     assert substring_dedup.repeated(docs.limit(0)).count() == 0 and substring_dedup.cut(docs.limit(0)).count() == 0
 
 
+def test_a_phrase_over_and_over_and_columns_that_clash(spark):
+    length = 20
+    r = random.Random(11)
+    rows = [(1, "a " * 3000), (2, "x " + "a b c " * 1000), (3, " ".join(words(r, 30)) + " a" * 21), (4, "a " * 19), (5, "b c a " * 9 + "end"), (6, ""), (7, " a" * 20)]
+    docs = spark.createDataFrame(rows + [(None, "a " * 50), (8, None)], SCHEMA)
+    for c in ("cuts_", "doc_", "left_", "id_", "row_", "n_", "__row", "__cuts", "__doc", "fp", "start"):
+        docs = docs.withColumn(c, F.lit(c))
+    docs = docs.unionByName(docs.filter("doc_id in (3, 8)"))
+    for earlier in (False, True):
+        got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in substring_dedup.repeated(docs, length, 5, earlier).collect()}
+        assert got == repeats(rows, length, earlier)[0]
+    kept = substring_dedup.cut(docs, length, gram=5)
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == list(range(1, 9))
+    for keep in (exact_dedup.keep_first, near_dedup.keep_one):
+        assert keep(docs).columns == docs.columns and {x["doc_id"] for x in keep(docs).collect()} <= set(range(1, 9))
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(12)
+    long = words(r, 150_000, 50_000)
+    rows = [(1, " ".join(long)), (2, " ".join(words(r, 100, 50_000) + long[70_000:70_200])), (3, "q " * 200_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in substring_dedup.repeated(docs).collect()}
+    assert got == {(1, 70_000, 70_200), (2, 100, 300), (3, 0, 200_000)}
+    assert near_dedup.near_duplicates(docs).count() == 0
+
+
 def test_winnowing_picks_in_every_window():
     w = next(tx.slices(pa.array([" ".join(words(random.Random(6), 400))]))).words()
     _, at = substring_dedup.picked(w, 50, 8)
