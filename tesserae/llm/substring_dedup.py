@@ -6,7 +6,9 @@ hashes that repeat (regions) go on. Identical regions fold into one; where nothi
 hashes they need no search. Each other region goes to the shard of each hash that it shares, cut to the surroundings of
 the hashes of that shard: what is sent is a few times the text that repeats, however many documents share a hash. A
 shard's index holds the distinct stretches that came to it, and each of them streams through it. Shards get about
-SHARD_WORDS words, so their number follows the text that repeats and an index fits a worker; the stretches of a document
+SHARD_WORDS words, so their number follows the text that repeats and an index fits a worker. A hash that more than HOT
+regions share would fill a shard by itself: the runs of words around it are counted by key, with partial sums, which
+gives the same stretches and gathers no group. The stretches of a document
 found in different shards unite to those that one index of the whole corpus would give.
 
 Words are maximal runs without ASCII white space, compared in 31 bits of their hashes inside a shard: for a false match
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import text as tx
 from tesserae.llm.fm_index import Matcher
-from tesserae.session import dropped, written
+from tesserae.session import dropped, unused, written
 
 LENGTH = 50
 GRAM = 8
 SHARD_WORDS = 400_000
+#: A hash that more regions share goes to no shard: the runs of LENGTH words around it are counted by key instead.
+HOT = 4_000
 #: Words of streams that are searched at a time.
 BLOCK_WORDS = 400_000
 #: Starts of passages in one search; longer streams are cut with an overlap of LENGTH - 1 words, which loses nothing.
@@ -50,9 +54,23 @@ def picked(w: tx.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]
     pad = np.zeros(width - 1, np.uint64)
     most = tx.slide(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero(most == g)
+    at = at[thinned(g[at], at, text[at], width)]
     return g[at], at
 
 
+def thinned(g: np.ndarray, at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """Which picks stay: of a run of one hash over and over its first, its last, and one in each half of `width` places.
+
+    A passage has picks at `width` places, so one that held a pick of such a run still holds one.
+    """
+    half = max(1, width // 2)
+    if not len(at):
+        return np.zeros(0, bool)
+    new = np.r_[True, (g[1:] != g[:-1]) | (text[1:] != text[:-1]) | (at[1:] - at[:-1] > half)]
+    step = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // half
+    return new | np.r_[new[1:], True] | np.r_[True, step[1:] != step[:-1]]
+
+
 def fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(fp, doc, pos): the picked hashes of docs (doc_id, text), and the word at which each starts."""
 
@@ -185,6 +203,34 @@ def matched(streams: DataFrame, length: int, earlier: bool) -> DataFrame:
     return streams.groupBy("shard").applyInArrow(run, "doc long, start int, end int")
 
 
+def windows(routed: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, pos, w1, w2): 128 bits of each run of `length` words around the given places of regions (doc, start, n, words, places)."""
+    around = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = (batch.column(k).to_numpy() for k in (0, 1))
+            for i, (words, places) in enumerate(zip(batch.column(3), batch.column(4).to_pylist(), strict=True)):
+                h = np.frombuffer(words.as_py(), np.int32).astype(np.uint64)
+                place = np.array(places, np.int64)
+                at = np.unique((place[:, None] - np.arange(around + 1)).ravel())
+                at = at[(at >= 0) & (at <= len(h) - length)]
+                w = [tx.span_hashes(tx.prefix_sums(tx.mixed(h + np.uint64(seed))), at, at + length).view(np.int64) for seed in (1 << 40, 1 << 50)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc[i])), pa.array((start[i] + at).astype(np.int32)), *map(pa.array, w)], ["doc", "pos", "w1", "w2"])
+
+    return routed.select("doc", "start", "n", "words", "places").mapInArrow(run, "doc long, pos int, w1 long, w2 long")
+
+
+def counted(routed: DataFrame, length: int, gram: int, earlier: bool) -> DataFrame:
+    """(doc, start, end): what `matched` gives, for hashes of any number of regions: runs are counted, none is gathered."""
+    every = written(windows(routed, length, gram), "hot-windows")
+    twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "pos")).alias("first")).filter("k > 1")
+    found = every.join(twice, ["w1", "w2"])
+    if earlier:
+        found = found.filter((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
+    return found.select("doc", F.col("pos").alias("start"), (F.col("pos") + length).alias("end"))
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """(doc, start, end): for each document the union of its spans."""
     w = Window.partitionBy("doc").orderBy("start", "end")
@@ -195,7 +241,7 @@ def merged(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, earlier: bool = False, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, earlier: bool = False, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the stretches of each document whose every run of `length` words occurs twice.
 
     The other occurrence may be in any document, or elsewhere in the same one; with `earlier` it must come before, in
@@ -220,15 +266,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, earlier: b
     # hashes that distinct regions share, or that one holds twice
     marks = light.filter(is_first).select("doc", "start", F.explode(F.arrays_zip("fps", "places")).alias("m"))
     marks = marks.select("doc", "start", F.col("m.fps").alias("fp"), F.col("m.places").alias("place"))
-    shared = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("fp")
+    shared = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     active = written(marks.join(shared, "fp"), "shared-marks")
     # a hash sends up to 2 * length words; the number of shards follows what is sent
-    size = active.count() * (2 * length - gram)
+    cool, heated = active.filter(F.col("k") <= hot), active.filter(F.col("k") > hot)
+    size = cool.count() * (2 * length - gram)
     shards = max(1, -(-size // shard_words))
-    routes = active.groupBy("doc", "start", F.pmod("fp", F.lit(shards)).cast("int").alias("shard")).agg(F.collect_set("place").alias("places"))
+    routes = cool.groupBy("doc", "start", F.pmod("fp", F.lit(shards)).cast("int").alias("shard")).agg(F.collect_set("place").alias("places"))
     routes = routes.groupBy("doc", "start").agg(F.collect_list(F.struct("shard", "places")).alias("routes"))
     routed = found.select("doc", "start", "n", "words").join(routes, ["doc", "start"])
-    spans = matched(shipped(routed, length, gram), length, earlier).unionByName(whole)
+    places = heated.groupBy("doc", "start").agg(F.collect_set("place").alias("places"))
+    crowded = found.select("doc", "start", "n", "words").join(places, ["doc", "start"])
+    spans = matched(shipped(routed, length, gram), length, earlier).unionByName(counted(crowded, length, gram, earlier)).unionByName(whole)
     out = merged(spans)
     return out.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
@@ -240,18 +289,19 @@ def cut(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     null texts too; rows of null doc_id go. A cut takes the words and the white space after them.
     """
     docs = tx.unique_documents(docs)
-    spans = repeated(docs, length, earlier=True, **how).groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__doc"], "left").drop("__doc")
-    left = joined.withColumn("__text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(without(F.col("text").cast("string"), F.col("__cuts"))))
+    doc, cuts, left = (unused(c, docs) for c in ("doc_", "cuts_", "left_"))
+    spans = repeated(docs, length, earlier=True, **how).groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
+    text, none = F.col("text"), F.col(cuts).isNull()
+    joined = docs.join(spans, F.col("doc_id") == F.col(doc), "left").withColumn(left, F.when(none, text).otherwise(without(text.cast("string"), F.col(cuts))))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("__text").alias("text"))
+            columns.append(F.col(left).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.when(none, F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
-    return left.select(*columns)
+    return joined.select(*columns)
 
 
 def _without(texts, cuts):
