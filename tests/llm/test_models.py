@@ -1,9 +1,13 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tesserae.llm import packing, quality, token_counts, toxicity, url_filter
+from tesserae.llm import text as tx
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -172,14 +176,115 @@ def test_quality_on_held_out_documents(spark):
     assert quality.scored(d.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
 
 
-def test_views_teach_each_other():
-    r = np.random.default_rng(1)
-    y = r.integers(0, 2, 60).astype(float)
-    views = [np.column_stack([y + r.normal(0, 0.3, 60), r.normal(size=60)]).astype(np.float32), np.column_stack([y + r.normal(0, 0.3, 60)]).astype(np.float32)]
-    pool = [np.repeat([[0.0, 0], [1.0, 0]], 200, 0).astype(np.float32), np.repeat([[0.0], [1.0]], 200, 0).astype(np.float32)]
-    m = quality.co_train(views, y, pool)
-    a = np.mean((quality.odds(views[0], np.array(m["w"][0])) > 0) == (y > 0))
-    assert a > 0.85 and len(m["calibration"]) == 2 and all(x != 0 for x in m["mix"][:2])
+def plain_shape(text):
+    """The numbers of a text's shape, a byte and a word at a time."""
+    raw = text.encode()
+    kind = [quality._kinds[c] for c in raw]
+    words = [w for w in re.split(rb"[\x09-\x0d\x1c-\x20]", raw) if w]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    grams = [tuple(words[k : k + 4]) for k in range(max(len(words) - 3, min(len(words), 1)))]
+    mean = lambda values: sum(values) / n
+    return [
+        *(kind.count(k) / size for k in range(quality.KINDS)),
+        mean(quality._kinds[w[-1]] == 0 for w in words),
+        mean(quality._kinds[w[0]] == 2 and quality._kinds[w[-1]] != 3 for w in words),
+        mean(len(w) == 1 for w in words),
+        mean(a == b for a, b in zip(words, words[1:])),
+        np.log1p(mean(len(w) for w in words)),
+        len(set(grams)) / max(len(grams), 1),
+        np.log1p(len(raw)) / 10,
+        np.log1p(n) / 10,
+    ]
+
+
+def plain_views(text, lang, source):
+    """Both views of one document, dense."""
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    view = np.zeros(quality.SHAPE + 1024)
+    view[: quality.SHAPE] = plain_shape(text)
+    for w in words:
+        h = tx.Slice(0, np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).words(tx.MARKS, True).hash[0]
+        view[quality.SHAPE + int(h >> np.uint64(54))] += 1 / len(words)
+    view[quality.SHAPE :] **= 0.5
+    at = quality.meta_view(pa.array([lang], pa.string()), pa.array([source], pa.string()), np.array([len(text.encode())]))[0]
+    meta = np.zeros(1024)
+    meta[at] = 1
+    return view, meta, at
+
+
+def plain_co_training(docs, labels, order, rounds):
+    """Scores by the definition: each document by itself, and every sure one among the rows that teach the other view."""
+    views = {i: plain_views(t, a, b) for i, t, a, b in docs}
+    known = [i for i in order if i in labels]
+    y = np.array([labels[i] for i in known], float)
+    x = [np.array([views[i][k] for i in known]) for k in (0, 1)]
+    taught = [[], []]
+    for turn in range(rounds + 1):
+        m = quality.refit(x, y, taught)
+        if turn == rounds:
+            break
+        before, taught = taught, [[], []]
+        for k in (0, 1):
+            cells = {}
+            for i, v in views.items():
+                a, b = m["calibration"][1 - k]
+                o = a * (v[1 - k] @ np.array(m["w"][1 - k][:-1]) + m["w"][1 - k][-1]) + b
+                if i not in labels and abs(o) > np.log(9):
+                    cells.setdefault((tuple(v[2]), o > 0), []).append(v[k])
+            # one mean for each metadata and class: cells of several metadata are their weighted means
+            for cell, group in gathered(cells).items():
+                taught[k].append((int(cell[1]), len(group), np.mean(group, 0)))
+            taught[k] = taught[k] or before[k]
+    out = {}
+    for i, v in views.items():
+        total = m["mix"][2]
+        for k in (0, 1):
+            o = v[k] @ np.array(m["w"][k][:-1]) + m["w"][k][-1]
+            total += m["mix"][k] * (m["calibration"][k][0] * o + m["calibration"][k][1])
+        out[i] = 1 / (1 + np.exp(-total))
+    return out, m
+
+
+def gathered(cells):
+    out = {}
+    for (meta, positive), rows in cells.items():
+        h = tx.span_hashes(tx.prefix_sums(np.array(meta, np.uint64)), np.array([0]), np.array([6]))[0]
+        out.setdefault((int(h % np.uint64(quality.CELLS)), positive), []).extend(rows)
+    return dict(sorted(out.items()))
+
+
+def test_quality_equals_plain_co_training(spark):
+    docs, labels = labelled(300, 12)
+    docs += [(400, "Good1, good2! " * 400, None, "s0"), (401, "x", "en", None), (402, docs[4][1], "de", "s1")]
+    truth = {i: q for i, q, _ in labels if i < 200}
+    d = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS size", "2 AS known", "3 AS y", "4 AS __good")
+    order = [r["doc_id"] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    table = spark.createDataFrame([(i, q, 0) for i, q in truth.items()] + [(4, 1, 0)], LABELS)
+    for rounds in (0, 2):
+        want, _ = plain_co_training(docs, truth, order, rounds)
+        got = {r["doc_id"]: r["score"] for r in quality.scored(d, table, rounds=rounds).collect()}
+        assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 5e-3
+
+
+def test_pseudo_labels_move_the_other_view(spark):
+    r = random.Random(13)
+    rows, labels = [], []
+    for i in range(1200):
+        q = i % 2
+        word = ("good" if q else "bad") if i < 400 else ("fine" if q else "poor")  # words that no labelled text has
+        rows.append((i, " ".join(f"{word}{r.randint(0, 9)}" if r.random() < 0.3 else f"w{r.randint(0, 300)}" for _ in range(60)), "en", f"s{q}"))
+        if i < 400:
+            labels.append((i, q, 0))
+    views = quality.viewed(spark.createDataFrame(rows, DOCS)).cache()
+    table = spark.createDataFrame(labels, LABELS)
+    before, after = (quality.fit(views, table, rounds=k) for k in (0, 2))
+    w = [np.array(m["w"][0]) for m in (before, after)]
+    batch = views.filter("doc_id >= 400").toArrow()
+    odds = [quality.Views(batch).odds([x, np.zeros(1025)])[0] for x in w]
+    truth = np.array(batch.column("doc_id").to_pylist()) % 2 == 1
+    right = [np.mean((o > 0) == truth) for o in odds]
+    assert right[0] < 0.8 and right[1] > 0.95
+    views.unpersist()
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -203,6 +308,66 @@ def test_ftrl_follows_the_formula():
     assert np.allclose(m.weights()[[1, 2]], want) and (m.weights()[[0, 3]] == 0).all()
 
 
+def plain_ftrl(rows, bits, passes, alpha=1.0, beta=1.0, l1=4.0):
+    """Weights by FTRL-proximal, a row and a coordinate at a time, over word n-grams and skip-grams."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i != -1 and abs(z.get(i, 0)) <= l1:
+            return 0.0
+        v = z.get(i, 0.0)
+        return -(v - np.sign(v) * (l1 if i != -1 else 0)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha)
+
+    for _ in range(passes):
+        for text, label in rows:
+            at = [*plain_coordinates(text, bits), -1]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + np.exp(-np.clip(sum(w), -35, 35))) - label
+            for i, x in zip(at, w):
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - s * x
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i == -1 or weight(i)}
+
+
+def plain_coordinates(text, bits):
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    h = [tx.Slice(0, np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).words(tx.MARKS, True).hash[0] for w in words]
+    out = set()
+    for i in range(len(words)):
+        for shape, gaps in ((0, ()), (1, (1,)), (2, (1, 2)), (3, (2,))):
+            if i + max(gaps, default=0) >= len(words):
+                continue
+            x = int(h[i])
+            for g in gaps:
+                x = (x * tx.BASE + int(h[i + g])) % 2**64
+            value = x if shape == 0 else int(tx.mixed(np.array([(x + shape) % 2**64], np.uint64))[0])
+            out.add(value >> (64 - bits))
+    return sorted(out)
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    docs, labels = labelled(160, 9)
+    docs += [(200, docs[2][1], "en", "s0"), (201, "Ünï vile, slur1! " * 300, "en", "s0"), (202, "vile", "en", "s0"), (203, "", "en", "s0")]
+    labels += [(200, 1, 0), (201, 0, 1), (202, 1, 1), (203, 1, 0), (2, 1, 0)]
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    d = d.selectExpr("doc_id", "text", "doc_id AS __id", "'x' AS label", "'y' AS toxic")
+    truth = {}
+    for i, _, t in labels:
+        truth[i] = max(t, truth.get(i, 0))
+    order = [r["doc_id"] for r in d.filter(F.col("doc_id").isin(*truth)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    texts = {i: t for i, t, *_ in docs}
+    model = plain_ftrl([(texts[i], truth[i]) for i in order], 16, 3)
+    want = {}
+    for i, t in texts.items():
+        c = plain_coordinates(t, 16)
+        p = 1 / (1 + np.exp(-sum(model.get(x, 0.0) for x in [*c, -1]))) if c else 0.0
+        if p >= toxicity.THRESHOLD:
+            want[i] = p
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxic_documents(d, spark.createDataFrame(labels, LABELS), bits=16).collect()}
+    assert set(got) == set(want) and len(want) > 20 and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
 # hosts
 
 
@@ -256,3 +421,21 @@ def test_hosts_equal_brute_force(spark):
     none = url_filter.scored_urls(df, spark.createDataFrame([], "url string, bad int")).toPandas()
     assert len(none) == len(pages) + 2 and set(none.bad_rate) == {0.5}
     assert url_filter.scored_urls(df.limit(0), spark.createDataFrame(table, "url string, bad int")).count() == 0
+
+
+def test_rules_of_a_suffix_list(spark, tmp_path):
+    (tmp_path / "rules").write_text("// remark\ncom\nuk\nco.uk\n*.ck\n!www.ck\na.b.city.jp\n")
+    rules = url_filter.read_suffixes(str(tmp_path / "rules"))
+    hosts = {"x.y.com": ("y.com", "com"), "com": ("com", "com"), "q.z.co.uk": ("z.co.uk", "co.uk"), "a.uk": ("a.uk", "uk"), "w.v.any.ck": ("v.any.ck", "any.ck"), "x.www.ck": ("www.ck", "ck"), "p.q.a.b.city.jp": ("q.a.b.city.jp", "a.b.city.jp"), "m.unknown": ("m.unknown", "unknown"), "1.2.3.4": ("1.2.3.4", "ip")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["d"], r["s"]) for r in df.select("host", *(c.alias(n) for c, n in zip(url_filter.levels(F.col("host"), rules), "ds"))).collect()}
+    assert got == hosts
+
+
+def test_a_host_of_most_pages_is_judged_like_the_others(spark):
+    outcomes = spark.createDataFrame([(f"https://h{i % 3}.com/{i}", int(i % 4 == 0)) for i in range(60)], "url string, bad int")
+    pages = spark.createDataFrame([(i, "http://h0.com/x") for i in range(3000)] + [(5000 + i, f"http://h{i}.com/") for i in range(1, 5)] + [(6000, None)], "page_id long, url string")
+    got = url_filter.scored_urls(pages, outcomes).toPandas().set_index("page_id")
+    assert len(got) == 3005 and got.upper[:3000].nunique() == 1
+    alone = url_filter.scored_urls(pages.filter("page_id in (7, 5001, 5003)"), outcomes).toPandas().set_index("page_id")
+    assert (alone.upper == got.upper[alone.index]).all() and list(alone.n_labelled.sort_index()) == [20, 20, 0]
