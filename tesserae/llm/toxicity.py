@@ -59,17 +59,23 @@ class Ftrl:
 
     def weights(self, at: np.ndarray | None = None) -> np.ndarray:
         z, n = (self.z, self.n) if at is None else (self.z[at], self.n[at])
-        l1 = np.full(len(z), self.l1)
-        l1[-1] = 0
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        return self._weights(z, np.sqrt(n))
+
+    def _weights(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The bias comes last and has no L1."""
+        over = np.abs(z) - self.l1
+        over[-1] = abs(z[-1])
+        return -np.sign(z) * np.maximum(over, 0) / ((self.beta + root) / self.alpha + self.l2)
 
     def learn(self, coordinates: np.ndarray, label: float) -> None:
         at = np.append(coordinates, self.bias)
-        w = self.weights(at)
+        z, n = self.z[at], self.n[at]
+        root = np.sqrt(n)
+        w = self._weights(z, root)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
-        self.z[at] += g - sigma * w
-        self.n[at] += g * g
+        n += g * g
+        self.z[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
+        self.n[at] = n
 
 
 def fit(labelled: DataFrame, bits: int = BITS, most: int = LABELLED, passes: int = 3, **rates) -> pd.DataFrame:
@@ -85,8 +91,9 @@ def fit(labelled: DataFrame, bits: int = BITS, most: int = LABELLED, passes: int
         t = t.take(pa.array(np.lexsort((t.column("doc_id").to_numpy(), t.column("mix").to_numpy()))))
         y = t.column("label").to_numpy()
         model, texts = Ftrl(1 << bits, **rates), t.column("text").combine_chunks()
+        known = [d.astype(np.int32) for d in documents_of(texts, bits)]  # hashed once for all passes
         for _ in range(passes):
-            for d, label in zip(documents_of(texts, bits), y, strict=True):
+            for d, label in zip(known, y, strict=True):
                 model.learn(d, label)
         w = model.weights()
         at = np.flatnonzero(w[:-1])
@@ -99,12 +106,12 @@ def fit(labelled: DataFrame, bits: int = BITS, most: int = LABELLED, passes: int
 
 def score(docs: DataFrame, model: pd.DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, score) of every row: the probability that the text is toxic; a null or wordless text has score 0."""
-    dense = np.zeros(1 << bits, np.float32)
     inner = model[model.coordinate >= 0]
     bias = float(model.loc[model.coordinate < 0, "weight"].sum())
     at, weight = inner.coordinate.to_numpy(), inner.weight.to_numpy(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(1 << bits, np.float32)
         dense[at] = weight
         for batch in batches:
             out = np.zeros(batch.num_rows)
