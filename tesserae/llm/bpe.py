@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words, with exact merges for the rest.
 
-One scan counts the words of all texts; the LEXICON most frequent ones are merged once on the driver and compiled
+One scan counts the words of all texts; the most frequent ones, LEXICON at most, are merged once on the driver and compiled
 into a minimal automaton, whose states are shared by all words with the same endings. Its arcs carry numbers that add
 up to a word's rank in the sorted lexicon, and the rank finds the word's ids in a flat table. The automaton is a file
 in the shared folder that Spark hands to each executor once and its workers map into memory. A second scan looks up
@@ -19,11 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as tx
-from tesserae.session import shared_dir
+from tesserae.session import dropped, shared_dir, written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,9 +221,27 @@ def word_counts(docs: DataFrame, longest: int = WORD_BYTES) -> DataFrame:
     return part.filter(F.octet_length("word") <= longest).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _step(n: Column) -> Column:
+    """The step of a count: the count itself up to 64, then 64 steps for each power of two, so a few thousand at most."""
+    return F.when(n <= 64, n).otherwise(F.floor(F.log2(n) * 64) - 320).cast("int")
+
+
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The `most` words that occur most often; ties go by the word."""
-    return [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The words that occur most often, at most `most`: all of the highest steps of counts that fit together.
+
+    Words that occur once are not among them. Only a histogram of the steps and the words themselves come to the driver.
+    """
+    counts = written(word_counts(docs).filter("n > 1"), "word-counts")
+    sizes = {r["step"]: r["k"] for r in counts.groupBy(_step(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    least, taken = None, 0
+    for step in sorted(sizes, reverse=True):
+        taken += sizes[step]
+        if taken > most:
+            break
+        least = step
+    words = [] if least is None else [r["word"] for r in counts.filter(_step(F.col("n")) >= least).select("word").collect()]
+    dropped(counts)
+    return sorted(words)
 
 
 def shipped(spark, lexicon: Lexicon) -> str:

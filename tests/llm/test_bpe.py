@@ -83,4 +83,16 @@ def test_empty_table(spark):
 def test_frequent_words_counts_every_text(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, "b"), (3, None), (4, "a")], SCHEMA)
     assert {r["word"]: r["n"] for r in bpe.word_counts(docs).collect()} == {"b": 2, " a": 1, " b": 1, "a": 1}
-    assert bpe.frequent_words(docs, 2) == ["b", " a"]
+    more = spark.createDataFrame([(i, "x y" * (1 + i % 3) + " often" * i) for i in range(200)], SCHEMA)
+    counts = {r["word"]: r["n"] for r in bpe.word_counts(more).collect()}
+    for most in (0, 1, 2, 4, 100):
+        got = bpe.frequent_words(more, most)
+        assert len(got) <= most and got == sorted(got)
+        assert not got or min(counts[w] for w in got) >= max([n for w, n in counts.items() if w not in got and n > 1], default=0)
+    assert bpe.frequent_words(more, 1) == [" often"] and set(bpe.frequent_words(more, 100)) == {w for w, n in counts.items() if n > 1}
+
+
+def test_a_long_text(spark, oracle):
+    text = "word and " * 60_000 + "z" * 40_000
+    got = bpe.encoded(spark.createDataFrame([(1, text), (2, "z" * 40_000)], SCHEMA)).collect()
+    assert {r["doc_id"]: r["token_ids"] for r in got} == {1: oracle.encode_ordinary(text), 2: oracle.encode_ordinary("z" * 40_000)} and all(r["exact"] for r in got)
