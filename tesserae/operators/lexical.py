@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
@@ -87,18 +87,19 @@ def waterfall(ix: DataFrame, query: str, pool: int, weights: tuple[float, float]
     if not steps:
         return None
     found = matches(ix, phrases, weights)
-    branches = []
+    cells = []
     for n, (parts, how) in enumerate(steps):
         join = Column.__and__ if how == "all" else Column.__or__
         ok = reduce(join, (F.col(f"c_{i}") for i in parts))
         score = reduce(Column.__add__, (F.col(f"s_{i}") for i in parts))
-        branches.append(found.filter(ok).select("id", F.lit(n).alias("pass"), score.alias("bm25")).orderBy(F.desc("bm25"), "id").limit(pool))
-    if len(branches) == 1:
-        return branches[0]
-    rows = reduce(DataFrame.unionByName, branches)
-    seen = rows.agg(F.count_if(F.col("pass") == 0).alias("c0"), F.count_distinct(F.when(F.col("pass") <= 1, F.col("id"))).alias("c1"))
+        cells.append(F.when(ok, F.struct(F.lit(n).alias("pass"), score.alias("bm25"))))
+    rows = found.select("id", F.explode(F.array_compact(F.array(*cells))).alias("p")).select("id", "p.pass", "p.bm25")
+    rank = F.row_number().over(Window.partitionBy("pass").orderBy(F.desc("bm25"), "id"))
+    # of each pass at most `pool` rows are left, so what they say together fits one task
+    top, every = rows.withColumn("rank", rank).filter(F.col("rank") <= pool).drop("rank"), Window.partitionBy(F.lit(0))
+    c0, c1 = F.count_if(F.col("pass") == 0).over(every), F.size(F.collect_set(F.when(F.col("pass") <= 1, F.col("id"))).over(every))
     use = (F.col("pass") == 0) | (F.col("c0") < pool) & ((F.col("pass") == 1) | (F.col("c1") < pool))
-    return first_of(rows.crossJoin(F.broadcast(seen)).filter(use).select("id", "pass", "bm25"), ["id"], ["pass"])
+    return first_of(top.withColumns({"c0": c0, "c1": c1}).filter(use).select("id", "pass", "bm25"), ["id"], ["pass"])
 
 
 def search_rows(memories: DataFrame, query: str, limit: int = 20, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

@@ -42,7 +42,13 @@ def scored(store: Store, query: str, limit: int, now: Column, vector: list[float
         rows = rows.filter("alike is not null or lexical is not null")
         score = scoring.hybrid(F.coalesce("alike", F.lit(0.0)), F.coalesce("lexical", F.lit(0.0)), scoring.ALPHA)
         rows = rows.select("id", (score * F.col("strength")).alias("score"))
-    return rows.orderBy(F.desc("score"), "id").limit(limit)
+    return ranked(rows, limit)
+
+
+def ranked(rows: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` of rows (id, score) as a local table, so that what uses it more than once doesn't search again."""
+    top = rows.orderBy(F.desc("score"), "id").limit(limit).select("id", "score").collect()
+    return rows.sparkSession.createDataFrame(top, "id string, score double")
 
 
 def hydrated(store: Store, ranked: DataFrame) -> DataFrame:
@@ -59,11 +65,8 @@ def expanded(store: Store, direct: DataFrame, limit: int) -> DataFrame:
     """(id, score, via): direct (id, score) and what their strong ones' edges lead to, the best `limit`; via: direct or edge."""
     direct = F.broadcast(direct)
     seeds = direct.filter(F.col("score") >= SEED)
-    edges = scans.directed(store.associations.filter(F.col("weight") >= LEAST_WEIGHT)).join(F.broadcast(seeds.select(F.col("id").alias("node"), F.col("score").alias("seed"))), "node")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("node").orderBy(F.desc("weight"), F.desc(F.coalesce("last_updated_at", "created_at")), "neighbour")
-    top = edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_SEED)
+    strong = seeds.select(F.col("id").alias("node"), F.col("score").alias("seed"))
+    top = scans.top_associations(store.associations, seeds, LEAST_WEIGHT, PER_SEED).join(F.broadcast(strong), "node")
     top = top.join(direct.select(F.col("id").alias("neighbour")), "neighbour", "left_anti")
     found = top.groupBy(F.col("neighbour").alias("id")).agg(scoring.either(F.col("seed") * F.col("weight") * BOOST).alias("activation"))
     rows = store.memories.select("id", "strength").filter(F.col("strength") >= LEAST_STRENGTH).join(F.broadcast(found), "id")

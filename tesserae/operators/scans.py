@@ -155,6 +155,6 @@ def resolved_aliases(aliases: DataFrame, hops: int = 10) -> DataFrame:
 
 def top_associations(associations: DataFrame, seeds: DataFrame, least: float = 0.15, most: int = 5) -> DataFrame:
     """(node, neighbour, weight): the heaviest edges of each seed (id), the newest first among equals."""
-    edges = associations_of(associations, seeds).filter(F.col("weight") >= least)
+    edges = associations_of(associations.filter(F.col("weight") >= least), seeds)
     order = Window.partitionBy("node").orderBy(F.desc("weight"), F.desc(F.coalesce("last_updated_at", "created_at")), "neighbour")
     return edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("node", "neighbour", "weight")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import scoring, vectors
-from tesserae.operators import lexical, retrieval, scans, similarity
+from tesserae.operators import lexical, retrieval, scans
+from tesserae.plans import consolidation
 from tesserae.queries.prelude import NOW, sql
 from tesserae.sources import fixtures as fx
 
@@ -66,26 +67,22 @@ def browse(spark, d):
 
 
 def seeds_edges(spark, d):
-    m = fx.memories_with_docs(spark, d).filter("doc_id % 5 = 0").select("id")
-    return scans.top_associations(fx.associations(spark, d), m, 0.15, 5).select("node", F.round("weight", 6).alias("weight"))
+    return scans.top_associations(fx.associations(spark, d), fx.memories_with_docs(spark, d).select("id"), 0.15, 5).select("node", F.round("weight", 6).alias("weight"))
 
 
-def _prepared(spark, d, rows):
-    return similarity.prepared(rows, fx.embeddings(spark, d))
+def _candidates(spark, d, since):
+    out = consolidation.candidates(fx.store(spark, d), since, 0.3)
+    return out.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
 
 
 def merge_candidates(spark, d):
-    m = scans.merge_targets(fx.memories_with_docs(spark, d).drop("doc_id"), 0.3, 500)
-    out = similarity.merge_candidates(_prepared(spark, d, m), 20)
-    return out.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+    """Those of a first run: the strongest memories against the targets."""
+    return _candidates(spark, d, None)
 
 
 def merge_candidates_delta(spark, d):
-    st = fx.store(spark, d)
-    sources = scans.merge_sources(st, 0.3, fx.last(), 100)
-    targets = scans.merge_targets(st.memories, 0.3, 400)
-    out = similarity.merge_candidates_between(_prepared(spark, d, sources), _prepared(spark, d, targets), 20)
-    return out.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+    """Those of a later run: memories that are new or were shown against the targets."""
+    return _candidates(spark, d, fx.last())
 
 
 def _occ(tokens, term):
@@ -140,7 +137,7 @@ QUERIES = {
     "cq_recall": (recall, sql(f"SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM q_h UNION ALL SELECT id, score FROM q_a) ORDER BY score DESC, id LIMIT {LIMIT}", **RECALL)),
     "cq_cli_search": (cli_search, sql("SELECT id, round(s0, 6) AS bm25 FROM q_s WHERE c0 ORDER BY s0 DESC, id LIMIT 20", **_scores([[ONE]], 1.0, 1.0))),
     "cq_browse": (browse, None),
-    "wn_top_associations": (seeds_edges, sql("SELECT node, round(weight, 6) AS weight FROM t_dir JOIN t_mem ON id = node WHERE doc_id % 5 = 0 AND weight >= 0.15 QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, neighbour) <= 5")),
-    "jn_merge_candidates": (merge_candidates, sql(BEST, **PAIRS, q_src="SELECT * FROM q_f ORDER BY strength DESC, id LIMIT 500", q_tgt="SELECT * FROM q_src", q_cmp=COMPARED.format(on="a.id < b.id"))),
-    "jn_merge_candidates_delta": (merge_candidates_delta, sql(BEST, **PAIRS, q_src=f"SELECT * FROM q_f WHERE created_at > {LAST} OR id IN (SELECT memory_id FROM t_exp WHERE created_at > {LAST}) ORDER BY strength DESC, id LIMIT 100", q_tgt="SELECT * FROM q_f ORDER BY strength DESC, id LIMIT 400", q_cmp=COMPARED.format(on="a.id <> b.id"))),
+    "wn_top_associations": (seeds_edges, sql("SELECT node, round(weight, 6) AS weight FROM t_dir JOIN t_mem ON id = node WHERE weight >= 0.15 QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, neighbour) <= 5")),
+    "jn_merge_candidates": (merge_candidates, sql(BEST, **PAIRS, q_src="SELECT * FROM q_f ORDER BY strength DESC, id LIMIT 500", q_tgt="SELECT * FROM q_f ORDER BY strength DESC, id LIMIT 1000", q_cmp=COMPARED.format(on="a.id <> b.id"))),
+    "jn_merge_candidates_delta": (merge_candidates_delta, sql(BEST, **PAIRS, q_src=f"SELECT * FROM q_f WHERE created_at > {LAST} OR id IN (SELECT memory_id FROM t_exp WHERE created_at > {LAST}) ORDER BY strength DESC, id LIMIT 500", q_tgt="SELECT * FROM q_f ORDER BY strength DESC, id LIMIT 1000", q_cmp=COMPARED.format(on="a.id <> b.id"))),
 }

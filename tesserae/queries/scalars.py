@@ -66,7 +66,7 @@ def budget_classes(spark, d):
 
 def shown_texts(spark, d):
     t = F.col("text")
-    tagged = F.concat(F.substring(t, 1, 20), F.lit("</memory> x </Memory_Context> </RECALLED_memories>"))
+    tagged = F.concat(t, F.lit("</memory> x </Memory_Context> </RECALLED_memories>"))
     return fx.table(spark, d, "documents").select("doc_id", tx.shortened(t, 100).alias("cut"), tx.escaped(tagged).alias("escaped"), F.length(tx.normalized(t)).cast("long").alias("normal_length"))
 
 
@@ -101,7 +101,7 @@ def turn_contents(spark, d):
 
 
 def fact_replies(spark, d):
-    t = F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "goal").otherwise("odd").alias("type"), F.substring("text", 1, 30).alias("content"), (F.col("turn") % 2 == 0).alias("durable_beyond_current_task")))
+    t = F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "goal").otherwise("odd").alias("type"), F.col("text").alias("content"), (F.col("turn") % 2 == 0).alias("durable_beyond_current_task")))
     reply = F.concat(F.lit("```json\nHere: ["), t, F.lit("] done\n```"))
     rows = parsing.facts(fx.table(spark, d, "conversations").select("conv_id", "turn", reply.alias("response")))
     return rows.select("conv_id", "turn", "type", "content", "durable")
@@ -124,7 +124,7 @@ QUERIES = {
     "fn_age_scores": (age_scores, sql(f"SELECT doc_id, round(exp(-age / 180), 6) AS recency, round(0.8 * strength + 0.2 * exp(-age / 30), 6) AS broad, round(greatest(0.05, 0.977::DOUBLE ** age), 6) AS import_strength FROM (SELECT *, epoch({NOW} - created_at) / 86400 AS age FROM t_mem)")),
     "fn_rating_evidence": (rating_evidence, "SELECT event_id, event_id % 7 AS rating, CASE WHEN event_id % 7 IN (4, 5) THEN 'agent_feedback_positive' WHEN event_id % 7 = 3 THEN 'agent_feedback_neutral' ELSE 'agent_feedback_negative' END AS evidence, CASE WHEN event_id % 7 IN (4, 5) THEN 0.95 WHEN event_id % 7 = 3 THEN 0.4 ELSE -0.5 END::DOUBLE AS confidence FROM events WHERE event_id % 7 BETWEEN 1 AND 5"),
     "fn_budget_class": (budget_classes, "SELECT doc_id, c AS budget_class, CASE c WHEN 'high' THEN 8 WHEN 'medium' THEN 5 WHEN 'low' THEN 2 ELSE 0 END::INT AS recall_limit, CASE c WHEN 'high' THEN 5 WHEN 'medium' THEN 3 WHEN 'low' THEN 1 ELSE 0 END::INT AS reduced_limit FROM (SELECT doc_id, CASE WHEN b = 0 OR b - u > 0.75 * b THEN 'high' WHEN b - u > 0.25 * b THEN 'medium' WHEN b - u > 0.05 * b THEN 'low' ELSE 'none' END AS c FROM (SELECT doc_id, ceil(length(text) / 4.0) AS u, doc_id % 9 * 300 AS b FROM documents))"),
-    "fn_shown_text": (shown_texts, "SELECT doc_id, CASE WHEN length(text) > 100 THEN text[:97] || '...' ELSE text END AS cut, text[:20] || '&lt;/memory> x &lt;/memory_context&gt; &lt;/recalled_memories&gt;' AS escaped, length(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS normal_length FROM documents"),
+    "fn_shown_text": (shown_texts, "SELECT doc_id, CASE WHEN length(text) > 100 THEN text[:97] || '...' ELSE text END AS cut, text || '&lt;/memory> x &lt;/memory_context&gt; &lt;/recalled_memories&gt;' AS escaped, length(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS normal_length FROM documents"),
     "fn_near_duplicate": (near_duplicate_pairs, sql("SELECT a.doc_id, b.doc_id AS other_id FROM n a JOIN n b ON a.c[:40] = b.c[:40] AND a.doc_id < b.doc_id WHERE a.c = b.c OR (least(length(a.c), length(b.c)) >= 40 AND (starts_with(a.c, b.c) OR starts_with(b.c, a.c)))", n="SELECT doc_id, regexp_replace(lower(trim(content)), '\\s+', ' ', 'g') AS c FROM t_mem")),
     "fn_file_memory_signs": (file_memory_signs, "SELECT doc_id FROM documents WHERE doc_id % 10 < 3 OR regexp_matches(text, 'memory/(YYYY-MM-DD|\\d{4}-\\d{2}-\\d{2})|MEMORY\\.md') OR regexp_matches(lower(text), 'write it to a file|memory maintenance|daily.*notes.*memory/|curated.*memor')"),
     "fn_event_token": (event_tokens, "SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0"),
@@ -136,5 +136,5 @@ QUERIES = {
         FROM c""", c="""SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user' AND text <> '') AS u, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND text <> '') AS a,
           arg_max(text, turn) FILTER (role = 'user' AND text <> '') AS last_user, max(i) FILTER (role = 'user' AND text <> '') AS lu, max(i) FILTER (role = 'assistant' AND i >= 1) AS la, ceil(sum(length(text)) / 4.0)::BIGINT AS tokens
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id""")),
-    "fn_fact_parse": (fact_replies, "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'goal' ELSE 'fact' END AS type, trim(text[:30]) AS content, true AS durable FROM conversations WHERE turn % 2 = 0 AND trim(text[:30]) <> ''"),
+    "fn_fact_parse": (fact_replies, "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'goal' ELSE 'fact' END AS type, trim(text) AS content, true AS durable FROM conversations WHERE turn % 2 = 0 AND trim(text) <> ''"),
 }

@@ -119,11 +119,12 @@ def ingested(spark, d):
     e = fx.exposure_events(spark, d)
     ledger = e.select("session_id", "turn_id", "memory_id", F.col("mode").alias("channel"), "score", (F.col("retrieval_mode") == "bm25_only").alias("bm25_only"), "created_at", F.col("event_id").alias("seq"))
     said = F.array(*(F.struct(F.lit(r).alias("role"), F.lit("x").alias("content"), F.lit(None).cast("array<struct<type:string,text:string>>").alias("blocks")) for r in ("user", "assistant", "user")))
-    calls = F.collect_list(F.when((F.col("mode") == "tool_store"), F.struct("memory_id", (1 + F.col("k") % 5).cast("double").alias("rating"))))
+    calls = F.array_sort(F.collect_list(F.when(F.col("mode") == "tool_store", F.struct("event_id", "memory_id", (1 + F.col("k") % 5).cast("double").alias("rating")))))
+    calls = F.transform(calls, lambda c: F.struct(c["memory_id"].alias("memory_id"), c["rating"].alias("rating")))
     turn = e.groupBy("session_id", "turn_id").agg(F.max("created_at").alias("created_at"), F.max("event_id").alias("seq"), calls.alias("feedback"))
     turn = turn.select("session_id", "turn_id", F.lit(0).alias("prior_messages"), "created_at", "seq", said.alias("messages"), "feedback")
     st = st.with_(exposures=st.exposures.limit(0), attributions=st.attributions.limit(0))
-    out = provenance.ingested(st, ledger, turn.withColumn("feedback", F.lit(None).cast("array<struct<memory_id:string,rating:double>>")))
+    out = provenance.ingested(st, ledger, turn)
     return out.attributions.select("message_id", "memory_id", "evidence", "confidence")
 
 
@@ -139,6 +140,12 @@ EX = {
     "q_t": "SELECT *, sum(CASE WHEN role = 'user' AND pr = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS ex FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS pr FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')",
     "q_x": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ex) - 1 AS ordinal, 'User: ' || u || chr(10) || chr(10) || 'Assistant: ' || a AS content FROM (SELECT conv_id, ex, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user') AS u, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant') AS a FROM q_t GROUP BY conv_id, ex) WHERE u IS NOT NULL AND a IS NOT NULL",
 }
+AFTER = {
+    "q_s": "SELECT turn_id || ':msg:1' AS message_id, memory_id, arg_max(mode, c) AS evidence, max(c) AS confidence, min(created_at) AS created_at FROM (SELECT *, CASE mode WHEN 'auto_injected' THEN 0.15 WHEN 'tool_search_returned' THEN 0.3 ELSE 0.6 END::DOUBLE AS c FROM t_raw WHERE mode <> 'tool_store') GROUP BY turn_id, memory_id",
+    "q_n": "SELECT memory_id, message_id AS newest FROM q_s QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY created_at DESC, message_id DESC) = 1",
+    "q_c": "SELECT turn_id, memory_id, arg_max(1 + k % 5, event_id) AS r FROM t_raw WHERE mode = 'tool_store' GROUP BY turn_id, memory_id",
+    "q_g": "SELECT message_id, memory_id, arg_max(evidence, confidence) AS evidence, max(confidence) AS confidence FROM (SELECT coalesce(newest, turn_id || ':msg:1') AS message_id, memory_id, CASE WHEN r >= 4 THEN 'agent_feedback_positive' WHEN r = 3 THEN 'agent_feedback_neutral' ELSE 'agent_feedback_negative' END AS evidence, CASE WHEN r >= 4 THEN 0.95 WHEN r = 3 THEN 0.4 ELSE -0.5 END::DOUBLE AS confidence FROM q_c LEFT JOIN q_n USING (memory_id)) GROUP BY message_id, memory_id",
+}
 DAY = "'2024-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0')"
 MD = {
     "q_d": "SELECT doc_id, doc_id || '/memory/2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '.md' AS source_file, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS date, '# One ' || doc_id AS h, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents WHERE length(text) <= 1500 AND text NOT LIKE '%' || chr(10) || '#%' AND text NOT LIKE '#%' AND text NOT LIKE '%```%' AND text NOT LIKE '%~~~%'",
@@ -162,7 +169,7 @@ QUERIES = {
     "sx_markdown": (markdown_segments, sql("SELECT source_file, 0 AS id, h AS heading, 1 AS heading_level, date, false AS evergreen, CASE WHEN length(first) < 200 THEN first || chr(10) || chr(10) || second ELSE first END AS content FROM q_m UNION ALL SELECT source_file, 1, '## Two', 2, date, false, second FROM q_m WHERE length(first) >= 200", **MD)),
     "ag_file_info": (file_info, sql("SELECT source_file, CASE WHEN length(first) < 200 THEN 1 ELSE 2 END::BIGINT AS segments, false AS evergreen, date FROM q_m", **MD)),
     "cq_import": (imports, sql(f"SELECT sha256(content) AS id, any_value(CASE WHEN conv_id % 5 = 0 THEN 'fact' ELSE 'observation' END) AS type, any_value(CASE WHEN conv_id % 3 > 0 THEN 'past' ELSE 'none' END) AS temporal_state, round(min(CASE WHEN conv_id % 3 > 0 THEN 0.977::DOUBLE ** date_diff('day', ({DAY})::DATE, DATE '2024-02-15') ELSE 1 END), 6) AS strength FROM q_x GROUP BY content", **EX)),
-    "cq_after_turn": (ingested, sql("SELECT turn_id || ':msg:1' AS message_id, memory_id, arg_max(mode, c) AS evidence, max(c) AS confidence FROM (SELECT *, CASE mode WHEN 'auto_injected' THEN 0.15 WHEN 'tool_search_returned' THEN 0.3 ELSE 0.6 END::DOUBLE AS c FROM t_raw WHERE mode <> 'tool_store') GROUP BY turn_id, memory_id")),
+    "cq_after_turn": (ingested, sql("SELECT message_id, memory_id, coalesce(g.evidence, s.evidence) AS evidence, coalesce(g.confidence, s.confidence) AS confidence FROM q_s s FULL JOIN q_g g USING (message_id, memory_id)", **AFTER)),
     "st_exposure_windows": (exposure_windows, sql(f"SELECT {iso("date_trunc('day', created_at)::TIMESTAMP")} AS start, mode, count(*) AS n FROM t_exp GROUP BY ALL")),
 }
 

@@ -121,9 +121,9 @@ def cascade_delete(spark, d):
 
 
 def renames(spark, d):
-    """Memories of every tenth document get ! behind their contents."""
+    """All memories get ! behind their contents."""
     st = fx.store(spark, d)
-    changes = _memories(spark, d).filter("doc_id % 10 = 3").select(F.col("id").alias("old_id"), F.concat("content", F.lit("!")).alias("new_content"))
+    changes = _memories(spark, d).select(F.col("id").alias("old_id"), F.concat("content", F.lit("!")).alias("new_content"))
     out = dml.renamed(st, changes)
     e = out.associations.select(F.lit("edge").alias("kind"), "memory_a", "memory_b", F.round("weight", 6).alias("weight"))
     m = out.memories.select(F.lit("memory").alias("kind"), F.col("id").alias("memory_a"), F.lit("").alias("memory_b"), F.round("strength", 6).alias("weight"))
@@ -229,7 +229,7 @@ def import_strengths(spark, d):
     return m.select("doc_id", F.round(scoring.import_strength(F.col("temporal_anchor"), F.lit("2024-02-01").cast("timestamp")), 6).alias("strength"))
 
 
-R = "CASE WHEN doc_id % 10 = 3 THEN sha256(content || '!') ELSE id END"
+R = "sha256(content || '!')"
 QUERIES = {
     "sc_newest_first": (newest, sql(f"SELECT id, {iso('created_at')} AS created_at FROM t_mem")),
     "sc_working_consolidated": (working_split, sql("SELECT CASE WHEN consolidated THEN 'consolidated' ELSE 'working' END AS part, count(*) AS n, round(sum(strength), 6) AS strength FROM t_mem GROUP BY 1")),
