@@ -4,8 +4,8 @@ A hash rolls over windows of WINDOW bytes; where it is -1 modulo the block size
 gives six bits of its hash as one character. A document's block size is the largest that leaves it HALF characters
 or more, and it has a second signature at twice that size, so that documents of up to twice the size stay comparable.
 Signatures are compared only at one block size and if they share a run of GRAM characters. That rule makes the search
-an exact join on runs: equal signatures fold into one node, runs that only one node has are dropped early, and inside a
-bucket a breadth-first walk compares each reached node with those not yet reached, so a group of thousands of like
+an exact join on runs: equal signatures fold into one node, runs that only one node has are dropped early, buckets of
+more than BLOCK nodes are compared as pairs of blocks, and inside a bucket a breadth-first walk compares each reached node with those not yet reached, so a group of thousands of like
 documents costs a few comparisons each. Comparisons of many buckets go on together, 64 bits a step.
 """
 
@@ -19,16 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as tx
-from tesserae.llm.near_dedup import components
-from tesserae.session import dropped, written
+from tesserae.llm.near_dedup import components, in_blocks
+from tesserae.session import written
 
 WINDOW = 7
 LEAST = 3
 MOST, HALF = 64, 32
 GRAM = 7
+#: Nodes of one bucket that are compared in one go; larger buckets are split.
+BLOCK = 4096
 #: Signatures of at least this score of 100 are alike.
 ALIKE = 60
 LEVELS = 32
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _code = np.full(256, 64, np.uint8)
 _code[ALPHABET] = np.arange(64)
@@ -54,8 +57,8 @@ def triggers(s: tx.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at + 1, level, np.searchsorted(s.offsets, at, "right") - 1
 
 
-def signatures(s: tx.Slice) -> tuple[np.ndarray, list[pa.Array]]:
-    """The level of each text's block size, and its signatures at that level and the next."""
+def signatures(s: tx.Slice) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+    """The level of each text's block size, its signatures at that level and the next, and a hash of the whole text."""
     n, size = len(s), np.diff(s.offsets)
     end, level, text = triggers(s)
     count = np.bincount(text * LEVELS + level, minlength=n * LEVELS).reshape(n, LEVELS)[:, ::-1].cumsum(1)[:, ::-1]
@@ -63,7 +66,7 @@ def signatures(s: tx.Slice) -> tuple[np.ndarray, list[pa.Array]]:
     fits = (count + 1 >= HALF) & (np.arange(LEVELS) <= first[:, None])
     k = np.where(fits.any(1), LEVELS - 1 - fits[:, ::-1].argmax(1), 0)
     sums = tx.prefix_sums(tx._values[s.data])
-    return k, [_characters(s, sums, end, level, text, k + up) for up in (0, 1)]
+    return k, [_characters(s, sums, end, level, text, k + up) for up in (0, 1)], tx.span_hashes(sums, s.offsets[:-1], s.offsets[1:]).view(np.int64)
 
 
 def _characters(s: tx.Slice, sums: np.ndarray, end: np.ndarray, level: np.ndarray, text: np.ndarray, k: np.ndarray) -> pa.Array:
@@ -93,19 +96,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A null text has nulls, an empty one empty signatures at the least block size; null doc_ids and repeated rows have
     theirs as well. Other columns are not read.
     """
+    return _fingerprints(docs).drop("whole")
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    """`fingerprints` with `whole`, a hash of the text, where the signature is too short to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in tx.slices(batch.column(1)):
-                k, (one, two) = signatures(s)
+                k, (one, two), whole = signatures(s)
                 null = batch.column(1).slice(s.first, len(s)).is_null()
                 full = pa.array(np.ones(len(s), bool)) if not null.true_count else pa.compute.invert(null)
                 size = pa.array((LEAST << k).astype(np.int64))
                 one, two, size = (x if not null.true_count else pa.compute.if_else(full, x, None) for x in (one, two, size))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), size, one, two], ["doc_id", "block_size", "signature", "double_signature"])
+                brief = pa.compute.less(pa.compute.binary_length(one), GRAM)
+                columns = [batch.column(0).slice(s.first, len(s)), size, one, two, pa.compute.if_else(brief, pa.array(whole), None)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "block_size", "signature", "double_signature", "whole"])
 
     columns = (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.select(*columns).mapInArrow(run, "doc_id long, block_size long, signature string, double_signature string")
+    return docs.select(*columns).mapInArrow(run, "doc_id long, block_size long, signature string, double_signature string, whole long")
 
 
 def coded(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -192,12 +202,16 @@ def grams(nodes: DataFrame) -> DataFrame:
             key = np.zeros((len(codes), MOST - GRAM + 1), np.uint64)
             for j in range(GRAM):
                 key = key << np.uint64(6) | codes[:, j : j + MOST - GRAM + 1].astype(np.uint64)
-            row, j = np.nonzero(np.arange(MOST - GRAM + 1) + GRAM <= sizes[:, None])
-            value = tx.mixed(key[row, j] + block[row] * np.uint64(tx.BASE)).view(np.int64)
-            ids = batch.column(0).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(value)], ["id", "gram"])
+            # each run once: all runs in order, those that a signature lacks last
+            value = tx.mixed(key + block[:, None] * np.uint64(tx.BASE))
+            value[np.arange(MOST - GRAM + 1) + GRAM > sizes[:, None]] = NONE
+            value.sort(1)
+            fresh = value != NONE
+            fresh[:, 1:] &= value[:, 1:] != value[:, :-1]
+            row, j = np.nonzero(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(value[row, j].view(np.int64))], ["id", "gram"])
 
-    return nodes.select("id", "block", "sig").mapInArrow(run, "id long, gram long").distinct()
+    return nodes.select("id", "block", "sig").mapInArrow(run, "id long, gram long")
 
 
 def _edges(buckets: DataFrame, alike: int) -> DataFrame:
@@ -221,22 +235,23 @@ def grouped(docs: DataFrame, alike: int = ALIKE) -> DataFrame:
 
     Two documents are alike if at a block size that both have a signature of, the signatures share a run of GRAM
     characters and score at least `alike`; group_id is the smallest doc_id of the component, and a document's own if
-    nothing is like it. Signatures of fewer than GRAM characters, so short texts and null ones, are like nothing. Rows
-    of null doc_id go, and of rows that repeat a doc_id the smallest text counts. No rows give no rows; other columns are
+    nothing is like it. Texts with a signature of fewer than GRAM characters, empty ones too, are alike where they are equal,
+    null texts are like nothing. Rows of null doc_id go, and of rows that repeat a doc_id the smallest text counts. No rows give no rows; other columns are
     not read.
     """
     docs = tx.unique_documents(docs.select("doc_id", "text"))
-    found = written(fingerprints(docs), "fingerprints")
+    found = written(_fingerprints(docs), "fingerprints")
     one = found.select("doc_id", F.col("block_size").alias("block"), F.col("signature").alias("sig"))
     two = found.select("doc_id", (F.col("block_size") * 2).alias("block"), F.col("double_signature").alias("sig"))
     entries = one.unionByName(two).filter(F.length("sig") >= GRAM)
     nodes = written(entries.groupBy("block", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("block", "sig")), "signature-nodes")
     copies = entries.join(nodes.filter("n > 1").select("block", "sig", "rep"), ["block", "sig"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    runs = written(grams(nodes), "signature-runs")
-    shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
-    buckets = runs.join(shared, "gram").groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    members = buckets.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(nodes.select("id", "rep", "block", "sig"), "id")
-    buckets = members.groupBy("key").agg(F.collect_list(F.struct("rep", "block", "sig")).alias("members"))
-    groups = components(_edges(buckets, alike).unionByName(copies), "signature-stars")
-    dropped(runs)
+    # texts with a signature too short to compare are alike where they are equal: by both signatures and a hash of all bytes
+    short = found.filter("whole is not null")
+    names = ["block_size", "signature", "double_signature", "whole"]
+    first = short.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    equal = short.join(first, names).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    members = in_blocks(grams(nodes), "gram", BLOCK).join(nodes.select("id", "rep", "block", "sig"), "id")
+    buckets = members.groupBy("key", "x", "y").agg(F.collect_list(F.struct("rep", "block", "sig")).alias("members"))
+    groups = components(_edges(buckets, alike).unionByName(copies).unionByName(equal), "signature-stars")
     return found.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", "block_size", "signature", "double_signature", F.coalesce("group", "doc_id").alias("group_id"))

@@ -76,8 +76,8 @@ def plain_score(a: str, b: str, block: int) -> int:
     return min(100 - 100 * row[-1] // n, block // fp.LEAST * min(len(a), len(b)))
 
 
-def groups(prints: dict[int, tuple]) -> dict[int, int]:
-    """Components by brute force over all pairs."""
+def groups(prints: dict[int, tuple], texts: dict[int, str]) -> dict[int, int]:
+    """Components by brute force over all pairs; equal texts are alike whatever their length."""
     up = {i: i for i in prints}
 
     def root(i):
@@ -89,7 +89,7 @@ def groups(prints: dict[int, tuple]) -> dict[int, int]:
         for j, (bj, *sj) in prints.items():
             if i < j:
                 pairs = [(x, y, bx) for bx, x in ((bi, si[0]), (2 * bi, si[1])) for by, y in ((bj, sj[0]), (2 * bj, sj[1])) if bx == by]
-                same = any(x == y and len(x) >= fp.GRAM for x, y, _ in pairs)
+                same = texts[i] == texts[j] or any(x == y and len(x) >= fp.GRAM for x, y, _ in pairs)
                 if same or any(plain_score(x, y, b) >= fp.ALIKE for x, y, b in pairs):
                     a, z = sorted((root(i), root(j)))
                     up[z] = a
@@ -112,7 +112,7 @@ def test_signatures_follow_the_definition():
     texts = corpus()
     out = []
     for s in tx.slices(pa.array(texts), 4000):
-        k, (one, two) = fp.signatures(s)
+        k, (one, two), _ = fp.signatures(s)
         out += zip((fp.LEAST << k).tolist(), one.to_pylist(), two.to_pylist(), strict=True)
     assert out == [plain(t.encode()) for t in texts]
 
@@ -134,7 +134,7 @@ def test_groups_equal_brute_force(spark):
     docs = spark.createDataFrame(rows + [(900, None), (None, rows[5][1])], SCHEMA).repartition(3)
     got = {r["doc_id"]: r for r in fp.grouped(docs).collect()}
     prints = {i: plain(t.encode()) for i, t in rows}
-    want = groups(prints)
+    want = groups(prints, dict(rows))
     assert {i: got[i]["group_id"] for i, _ in rows} == want
     assert len(set(want.values())) < len(want) - 10
     assert tuple(got[900]) == (900, None, None, None, 900)
@@ -147,3 +147,11 @@ def test_repeated_ids_empty_tables_and_clashing_columns(spark):
     got = {r["doc_id"]: r["signature"] for r in fp.grouped(docs).collect()}
     assert got == {1: plain(("a " + t).encode())[1], 2: plain(t.encode())[1]}
     assert fp.grouped(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    rows = list(enumerate(corpus(3) + corpus(3)[10:20]))
+    monkeypatch.setattr(fp, "BLOCK", 3)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["group_id"] for r in fp.grouped(docs).collect()}
+    assert got == groups({i: plain(t.encode()) for i, t in rows}, dict(rows))
