@@ -6,8 +6,11 @@ take the longer content, and imports are stored as inferred.
 
 from __future__ import annotations
 
+import random
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -25,29 +28,90 @@ class BreakerOpen(RuntimeError):
     """The embedder isn't asked just now."""
 
 
+class EmbeddingTimeout(TimeoutError):
+    """The embedder took longer than it may."""
+
+
 @dataclass
 class Breaker:
-    """Stops asking an embedder that failed `threshold` times in a row, for `cooldown` seconds."""
+    """Stops asking an embedder that failed `threshold` times in a row, for about `cooldown` seconds.
+
+    A call that takes longer than `timeout` seconds counts as failed; what becomes of it later is told to `on_late`, as
+    (outcome, error). The rest varies by the share `jitter` either way, so that many engines don't come back at once.
+    After it one call is let through as a probe; others are refused until it is back, and if it fails the rest starts again.
+    """
 
     embed: Callable[[str], list[float]]
     threshold: int = 2
     cooldown: float = 30.0
     clock: Callable[[], float] = time.monotonic
+    timeout: float = 3.0
+    jitter: float = 0.2
+    on_change: Callable[[str, str], None] | None = None
+    on_late: Callable[[str, BaseException | None], None] | None = None
     failures: int = 0
     opened: float | None = None
+    resting: float = 0.0
+    probing: bool = False
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+
+    def __post_init__(self):
+        if self.threshold < 1 or self.cooldown < 0 or self.timeout <= 0:
+            raise ValueError("threshold must be 1 or more, cooldown not negative and timeout above 0")
+
+    @property
+    def state(self) -> str:
+        """closed, open, or half open once the rest is over."""
+        if self.opened is None:
+            return "closed"
+        return "half open" if self.clock() - self.opened >= self.resting else "open"
+
+    def _asked(self, text: str) -> list[float]:
+        done: Future = Future()
+
+        def run() -> None:
+            try:
+                done.set_result(self.embed(text))
+            except BaseException as e:  # noqa: BLE001 - handed to whoever waits
+                done.set_exception(e)
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            return done.result(self.timeout)
+        except TimeoutError:
+            if done.done():  # the embedder's own
+                raise
+            if self.on_late is not None:
+                done.add_done_callback(lambda f: self.on_late("failed" if f.exception() else "done", f.exception()))
+            raise EmbeddingTimeout(f"no embedding after {self.timeout} s") from None
 
     def __call__(self, text: str) -> list[float]:
-        if self.opened is not None and self.clock() - self.opened < self.cooldown:
-            raise BreakerOpen
+        with self.lock:
+            state = self.state
+            if state == "open" or (state == "half open" and self.probing):
+                raise BreakerOpen
+            probe = state == "half open"
+            self.probing = self.probing or probe
+        was = "closed" if self.opened is None else "open"
         try:
-            out = self.embed(text)
+            out = self._asked(text)
         except Exception:
-            self.failures += 1
-            if self.failures >= self.threshold or self.opened is not None:
-                self.opened = self.clock()
+            with self.lock:
+                self.failures += 1
+                if self.failures >= self.threshold:
+                    self.opened = self.clock()
+                    self.resting = self.cooldown * (1 + random.uniform(-self.jitter, self.jitter))
             raise
-        self.failures, self.opened = 0, None
-        return out
+        else:
+            with self.lock:
+                self.failures, self.opened = 0, None
+            return out
+        finally:
+            if probe:
+                self.probing = False
+            now = "closed" if self.opened is None else "open"
+            if now != was and self.on_change is not None:
+                self.on_change(was, now)
 
 
 @dataclass
@@ -98,8 +162,8 @@ class Engine:
             raise ValueError("unknown state or source")
         vector = self.vector(content)
         row = self.spark.createDataFrame([(content, type, source, temporal_state, temporal_anchor, vector)], "content string, type string, source string, temporal_state string, temporal_anchor string, embedding array<float>")
-        new = dml.stored(self.store, row.withColumn("temporal_anchor", F.col("temporal_anchor").try_cast("timestamp")), self.now)
-        st.write(new, self.config.root)
+        row = row.withColumn("temporal_anchor", F.col("temporal_anchor").try_cast("timestamp"))
+        st.changed(self.spark, self.config.root, lambda store: dml.stored(store, row, self.now))
         id = row.select(S.content_id(F.col("content")).alias("id")).first()["id"]
         self._log("store", [id], context_ids=list(context_ids))
         return id
@@ -134,7 +198,7 @@ class Engine:
     def sleep(self) -> consolidation.Summary:
         """Runs the consolidation and keeps its result, also where a merge failed."""
         try:
-            store, summary = consolidation.consolidated(self.store, self.now, self.produce)
+            store, summary = consolidation.consolidated(self.store, self.now, self.produce, None if self.breaker is None else self.vector)
         except consolidation.MergeFailed as e:
             st.write(e.store, self.config.root)
             raise
@@ -152,6 +216,8 @@ class Engine:
             rows = rows.unionByName(importing.session_facts(replies(sessions.segments(sessions.lines(self.spark, session_folder)))))
         n = rows.count()
         new = importing.imported(store, rows, self.now)
+        if self.embed is not None:
+            new = importing.embedded(new, self.embed)
         at = self.clock().astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         st.write(new.with_(state=dml.state_set(new.state, migration_completed_at=at)), self.config.root)
         return n
@@ -175,7 +241,7 @@ class Engine:
         return context.Assembler(self.store).assemble(prompt, budget, self.now, visible, vector=self.vector(prompt))
 
     def after_turn(self, ledger: DataFrame, turn: DataFrame) -> None:
-        st.write(provenance.ingested(self.store, ledger, turn), self.config.root)
+        st.changed(self.spark, self.config.root, lambda store: provenance.ingested(store, ledger, turn))
 
     def stats(self) -> DataFrame:
         return dml.counts(self.store)

@@ -33,7 +33,7 @@ class Merged:
     deleted: list[str] = field(default_factory=list)
 
 
-def merged(store: Store, pairs: list[tuple[str, str]], produce: Producer = longest, now: Column | None = None, embed: Callable[[str], list[float]] | None = None) -> tuple[Store, list[Merged]]:
+def merged(store: Store, pairs: list[tuple[str, str]], produce: Producer = longest, now: Column | None = None, embed: Callable[[str], list[float] | None] | None = None) -> tuple[Store, list[Merged]]:
     """The store after the merges of disjoint pairs, in order, and what became of each.
 
     pairs are a few (the candidates' bound), so their memories and new contents pass the driver; edges and tables never
@@ -92,7 +92,8 @@ def merged(store: Store, pairs: list[tuple[str, str]], produce: Producer = longe
         rows = rows.withColumns({"temporal_state": F.lit("none"), "created_at": now, "strength": F.lit(1.0), "source": F.lit("consolidation"), "consolidated": F.lit(True)})
         memories = memories.unionByName(conformed(rows, "memories"))
         if embed is not None:
-            vectors = spark.createDataFrame([(i, [float(x) for x in embed(c)]) for i, (c, _) in new.items()], S.struct("embeddings"))
+            found = [(i, embed(c)) for i, (c, _) in new.items()]
+            vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in found if v is not None], S.struct("embeddings"))
             store = store.with_(embeddings=dml.upserted(store.embeddings, vectors, ["id"]))
     store = store.with_(memories=memories, associations=dml.edges_set(store.associations, inherited, now))
     if gone:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae import schema as S
 from tesserae.functions import parsing, scoring
 from tesserae.operators import dml
+from tesserae.session import written
 from tesserae.sources.store import Store
 
 
@@ -58,3 +62,27 @@ def imported(store: Store, rows: DataFrame, now: Column) -> Store:
     aged = rows.select(S.content_id(F.col("content")).alias("id"), scoring.import_strength(F.col("decay_date").try_cast("timestamp"), now).alias("aged")).filter("aged < 1")
     aged = aged.groupBy("id").agg(F.min("aged").alias("aged"))
     return out.with_(memories=dml.updated(out.memories, aged, strength="aged"))
+
+
+def embedded(store: Store, embed: Callable[[str], list[float] | None], source: str = "import") -> Store:
+    """The store with vectors for those memories of a source that have none; embed goes to the executors with its batches.
+
+    A content whose embedding fails, or is None, stays without a vector, as search goes by words then. The vectors are
+    written, so that no content is sent to the model again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = [], []
+            for id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    vector = embed(content)
+                except Exception:  # noqa: BLE001 - whatever the model raises, the memory itself is kept
+                    vector = None
+                if vector is not None:
+                    ids.append(id)
+                    vectors.append([float(x) for x in vector])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(vectors, pa.list_(pa.float32()))], ["id", "embedding"])
+
+    bare = store.memories.filter(F.col("source") == source).join(store.embeddings.select("id"), "id", "left_anti").select("id", "content")
+    return store.with_(embeddings=dml.upserted(store.embeddings, written(bare.mapInArrow(run, S.TABLES["embeddings"]), "vectors"), ["id"]))

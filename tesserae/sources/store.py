@@ -1,13 +1,17 @@
 """The memory store: seven tables as DataFrames, kept as versions of Parquet under one root.
 
-A version is a folder of tables that is written whole and never changed; the file CURRENT names the one that counts,
-so readers see the old version or the new one and a job that dies leaves the old one standing. Memories and embeddings
-are bucketed by nothing: they are written sorted by id inside their files, so that Parquet's minima and maxima prune.
+A version is a folder of tables that is written whole and never changed. Versions are numbered by small files under
+commits, each of which names a folder; that of the highest number counts. A commit is a file that is written under
+another name and then renamed, never over one that is there: readers see the old version or the new one, a job that
+dies leaves the old one standing, and of two writers that started from one version the second gets a Conflict and has
+to start again from the new one (`changed` does so). Memories and embeddings are bucketed by nothing: they are written
+sorted by id inside their files, so that Parquet's minima and maxima prune.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,8 @@ class Store:
     attributions: DataFrame
     aliases: DataFrame
     state: DataFrame
+    #: The number of the version that this store was read from; None for one that was made otherwise.
+    number: int | None = None
 
     @property
     def tables(self) -> dict[str, DataFrame]:
@@ -56,47 +62,95 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+class Conflict(RuntimeError):
+    """Another writer made a version since this store was read."""
+
+
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    fs, path = _fs(spark, f"{root}/commits")
+    names = [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _committed(spark: SparkSession, root: str, number: int, version: str) -> None:
+    """Makes a version the one of a number, unless there is one of that number."""
+    fs, temporary = _fs(spark, f"{root}/commits/.{version}")
+    out = fs.create(temporary, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    _, path = _fs(spark, f"{root}/commits/{number:012d}")
+    never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    never[0] = getattr(hadoop, "Options$Rename").NONE
+    try:
+        hadoop.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()).rename(temporary, path, never)
+    except Exception:
+        fs.delete(temporary, False)
+        if fs.exists(path):
+            raise Conflict(f"version {number} of {root} is another writer's") from None
+        raise
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     """The folder of the version that counts, or None."""
-    fs, path = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(path):
-        return None
-    return f"{root}/{spark.read.text(f'{root}/CURRENT').first()['value'].strip()}"
+    numbers = _commits(spark, root)
+    return _folder(spark, root, numbers[-1]) if numbers else None
+
+
+def _folder(spark: SparkSession, root: str, number: int) -> str:
+    return f"{root}/{spark.read.text(f'{root}/commits/{number:012d}').first()['value'].strip()}"
 
 
 def read(spark: SparkSession, root: str) -> Store:
     """The store of the current version, or an empty one."""
-    at = current(spark, root)
-    if at is None:
-        return empty(spark)
-    return Store(**{name: spark.read.schema(S.TABLES[name]).parquet(f"{at}/{name}") for name in S.TABLES})
+    numbers = _commits(spark, root)
+    if not numbers:
+        return replace(empty(spark), number=0)
+    at = _folder(spark, root, numbers[-1])
+    return Store(**{name: spark.read.schema(S.TABLES[name]).parquet(f"{at}/{name}") for name in S.TABLES}, number=numbers[-1])
 
 
 def write(store: Store, root: str) -> Store:
-    """Writes all tables as a new version, makes it the current one, and reads it back."""
+    """Writes all tables as the version after the one that the store was read from, and reads it back.
+
+    A Conflict if there is such a version already. A store that was not read from a root follows the current version.
+    """
     spark = store.spark
+    number = store.number
+    if number is None:
+        number = max(_commits(spark, root), default=0)
     version = f"v-{uuid.uuid4().hex}"
     for name, df in store.tables.items():
         conformed(df, name).sortWithinPartitions(SORTED_BY[name]).write.parquet(f"{root}/{version}/{name}")
-    fs, path = _fs(spark, f"{root}/CURRENT")
-    _, new = _fs(spark, f"{root}/CURRENT-{version}")
-    out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    fs.rename(new, path)
+    try:
+        _committed(spark, root, number + 1, version)
+    except Conflict:
+        fs, path = _fs(spark, f"{root}/{version}")
+        fs.delete(path, True)
+        raise
     return read(spark, root)
 
 
+def changed(spark: SparkSession, root: str, change: Callable[[Store], Store], tries: int = 5) -> Store:
+    """Reads the store, changes and writes it; where another writer came first, again from the version that it made."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return write(change(read(spark, root)), root)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("tries must be 1 or more")
+
+
 def vacuum(spark: SparkSession, root: str) -> int:
-    """Deletes all versions but the current one, and says how many there were."""
-    at = current(spark, root)
-    fs, path = _fs(spark, root)
+    """Deletes the versions that others have followed, and says how many there were.
+
+    A folder that no commit names stays: a writer may be at work on it.
+    """
     n = 0
-    for status in fs.listStatus(path) if fs.exists(path) else ():
-        name = status.getPath().getName()
-        if name.startswith("v-") and at is not None and not at.endswith(name):
-            fs.delete(status.getPath(), True)
-            n += 1
+    for number in _commits(spark, root)[:-1]:
+        fs, old = _fs(spark, _folder(spark, root, number))
+        fs.delete(old, True)
+        fs.delete(_fs(spark, f"{root}/commits/{number:012d}")[1], False)
+        n += 1
     return n

@@ -1,7 +1,8 @@
 """Turns as a stream: each micro-batch goes through the batch ingestion into the store's next version.
 
 Exposures and attributions are keyed, so a batch that comes again after a failure changes nothing; the versions are
-written whole and swapped, so a reader never sees half a batch. The stream's own state is a watermark that drops turns
+written whole and committed by number, so a reader never sees half a batch, and a batch that another writer overtook is
+ingested again into that writer's version. The stream's own state is a watermark that drops turns
 that come again within EXPOSURE_DAYS.
 """
 
@@ -36,8 +37,7 @@ def ingest_batch(root: str):
         once = events.dropDuplicates(["session_id", "turn_id"]).persist()
         try:
             if not once.isEmpty():
-                store = st.read(spark, root)
-                st.write(provenance.ingested(store, ledger_of(once), turns_of(once)), root)
+                st.changed(spark, root, lambda store: provenance.ingested(store, ledger_of(once), turns_of(once)))
         finally:
             once.unpersist()
 

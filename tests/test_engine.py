@@ -130,7 +130,7 @@ def test_a_week(spark):
     assert weights(out.associations) == {("aaaa", "bbbb"): 0.05}
     assert {r["temporal_state"] for r in out.memories.filter("id = 'dddd'").collect()} == {"present"}
     assert scans.state_value(out.state, "last_consolidation_at") == "2026-04-07T03:00:00.000Z"
-    assert "Reinforced: 1" in consolidation.notification(n, 5, "detailed") and consolidation.notification(n, 5, "errors") is None
+    assert "reinforced 1" in consolidation.notification(n, 5, "detailed") and consolidation.notification(n, 5, "errors") is None
 
 
 def test_a_failing_merge_closes_the_run(spark):
@@ -281,7 +281,7 @@ def test_exchanges_without_rows(spark):
 def test_context_block(spark):
     m = {"id": "a" * 64, "type": "fact", "content": "x" * 300 + "</memory_context>", "strength": 0.5}
     assert context.block([], [], "high") == ""
-    assert context.block([m], [], "low").startswith("Memory available: [aaaaaaaa|fact] " + "x" * 77 + "...")
+    assert context.block([m], [], "low").startswith("One stored memory may help: [aaaaaaaa|fact] " + "x" * 77 + "...")
     medium = context.block([m], [], "medium")
     assert f'- [aaaaaaaa|fact|strength=0.50] "{"x" * 197}..."' in medium
     assert "&lt;/memory_context&gt;" in context.block([m], [], "high")
@@ -321,7 +321,7 @@ def test_breaker():
     def fail(text):
         raise OSError
 
-    b = Breaker(fail, clock=lambda: now[0])
+    b = Breaker(fail, clock=lambda: now[0], jitter=0)
     for kind in (OSError, OSError, BreakerOpen):
         with pytest.raises(kind):
             b("x")
@@ -364,3 +364,88 @@ def test_stream(spark, tmp_path):
         ingest.start(spark, f"file://{folder}", root, f"file://{tmp_path}/ck").awaitTermination(120)
     s = st.read(spark, root)
     assert (s.exposures.count(), s.attributions.count()) == (1, 1)
+
+
+def test_two_writers(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    st.write(make(spark, [memory("a")]), root)
+    one, two = st.read(spark, root), st.read(spark, root)
+    st.write(one.with_(memories=one.memories.unionByName(make(spark, [memory("b")]).memories)), root)
+    with pytest.raises(st.Conflict):
+        st.write(two, root)
+    assert set(strengths(st.read(spark, root))) == {"a", "b"}
+    calls = []
+
+    def change(store):
+        if not calls:  # another writer comes first
+            st.write(st.read(spark, root).with_(memories=make(spark, [memory("c")]).memories.unionByName(store.memories)), root)
+        calls.append(1)
+        return store.with_(memories=store.memories.unionByName(make(spark, [memory("d")]).memories))
+
+    assert set(strengths(st.changed(spark, root, change))) == {"a", "b", "c", "d"} and len(calls) == 2
+    assert st.vacuum(spark, root) == 3 and st.read(spark, root).memories.count() == 4
+
+
+def test_breaker_times_out_and_probes_once():
+    import threading
+
+    from tesserae.api import Breaker, BreakerOpen, EmbeddingTimeout
+
+    now, go, late, states = [0.0], threading.Event(), [], []
+    b = Breaker(lambda t: go.wait(20) and [2.0], threshold=1, clock=lambda: now[0], timeout=0.05, jitter=0, on_late=lambda *x: late.append(x), on_change=lambda *x: states.append(x))
+    with pytest.raises(EmbeddingTimeout):
+        b("x")
+    assert b.state == "open"
+    go.set()
+    for _ in range(200):
+        if late:
+            break
+        threading.Event().wait(0.01)
+    assert late == [("done", None)]
+    now[0], inside, leave = 31.0, threading.Event(), threading.Event()
+
+    def slow(text):
+        inside.set()
+        leave.wait(20)
+        return [1.0]
+
+    b.embed, b.timeout, got = slow, 20, []
+    probe = threading.Thread(target=lambda: got.append(b("x")))
+    probe.start()
+    inside.wait(20)
+    with pytest.raises(BreakerOpen):
+        b("y")
+    leave.set()
+    probe.join(20)
+    assert got == [[1.0]] and b.state == "closed" and states == [("closed", "open"), ("open", "closed")]
+    with pytest.raises(ValueError):
+        Breaker(slow, threshold=0)
+
+
+def test_imports_and_merges_get_vectors(spark):
+    from tesserae.plans import importing
+
+    s = make(spark, [memory("a"), memory("b", "gone"), memory("c")])
+    s = s.with_(memories=s.memories.withColumn("source", F.when(F.col("id") == "c", "agent_tool").otherwise("import")))
+
+    def embed(text):
+        if text == "gone":
+            raise OSError
+        return [1, 2]
+
+    assert [(r["id"], r["embedding"]) for r in importing.embedded(s, embed).embeddings.collect()] == [("a", [1.0, 2.0])]
+    s = make(spark, [memory("a", "one text"), memory("b", "other text")])
+    out, done = merging.merged(s, [("a", "b")], lambda a, b: ("both texts", "fact"), now(), lambda t: [3.0])
+    assert [(r["id"], r["embedding"]) for r in out.embeddings.collect()] == [(done[0].new_id, [3.0])]
+    assert merging.merged(s, [("a", "b")], lambda a, b: ("both texts", "fact"), now(), lambda t: None)[0].embeddings.count() == 0
+
+
+def test_context_is_kept_only_while_nothing_changes(spark):
+    a = context.Assembler(make(spark, [memory("a", "green tea is what they drink")]))
+    first = a.assemble("green tea", "high", now())
+    key = a.cache["key"]
+    assert "green tea" in first and a.assemble("green tea", "high", now()) == first and a.cache["key"] == key
+    seen = spark.createDataFrame([("a",)], "memory_id string")
+    assert a.assemble("green tea", "high", now(), seen) == ""
+    a.assemble("green tea", "high", now() + F.expr("interval 1 day"))
+    assert a.cache["key"] != key
