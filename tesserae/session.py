@@ -8,16 +8,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch that Python workers are sent.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def make_importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, and keeps Spark from wrong results of unions.
+    """Lets Python workers import this package from where the driver did, bounds what they are sent at a time, and keeps
+    Spark from wrong results of unions.
+
+    A batch for a worker ends at BATCH_BYTES as well as at its number of rows, so long texts don't add up in memory on
+    either side; a context that was given a bound of its own keeps it.
 
     Spark 4.1 may take a union for partitioned by a key although adaptive execution has changed one of its sides, so that
     a window or an aggregate over it sees the rows of one key apart.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
