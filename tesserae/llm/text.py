@@ -18,7 +18,7 @@ from tesserae.session import unused, written
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: Separators of white-space words.
 SPACES = np.zeros(256, bool)

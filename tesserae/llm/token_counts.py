@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, path: str = PIECES) -> DataFrame:
         newline = counter.count("\n")
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)
-            for s in tx.slices(batch.column(1), 4 * tx.SLICE_BYTES):
+            for s in tx.slices(batch.column(1), 16 * tx.SLICE_BYTES):
                 runs, offsets, newlines = split(batch.column(1).slice(s.first, len(s)), counter.cuts)
                 if not len(runs):
                     continue
