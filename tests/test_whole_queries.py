@@ -56,3 +56,22 @@ def test_merges_reach_all_ids(spark, tmp_path):
     rows = steps.merges(spark, d).collect()
     assert {r["a"]: r["value"] for r in rows if r["kind"] == "memory"} == strength
     assert {(r["a"], r["b"]) for r in rows if r["kind"] == "alias"} == alias
+
+
+def test_merges_need_a_strong_source_and_a_target(spark, tmp_path):
+    # like pairs of one type by the strengths of their ends: (0.4, 0.45), (0.5, 0.25), (0.5, 0.3)
+    by = {round(i * 37 % 101 / 100, 2): i for i in range(1000, 1101)}
+    ends = [(by[x], by[y]) for x, y in ((0.4, 0.45), (0.5, 0.25), (0.5, 0.3))]
+    # ids of one strength are 101 apart, so one of five of them is of the other end's type
+    ends = [(a + 101 * 5 * n, next(j for j in range(b, b + 101 * 5, 101) if (j - a) % 5 == 0)) for n, (a, b) in enumerate(ends)]
+    texts = {}
+    for n, (a, b) in enumerate(ends):
+        common = " ".join(f"word{n}x{i}" for i in range(40))
+        texts |= {a: common, b: f"{common} more"}
+    d = written(spark, tmp_path, list(texts.items()))
+    for name in os.listdir(DATA):
+        if name != "documents.parquet":
+            os.symlink(f"{DATA}/{name}", f"{d}/{name}")
+    rows = steps.merges(spark, d).collect()
+    kept = {r["a"] for r in rows if r["kind"] == "memory" and r["value"] == 1.0}
+    assert kept == {sha256(texts[ends[2][1]].encode()).hexdigest()}
