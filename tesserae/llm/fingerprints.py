@@ -6,7 +6,9 @@ or more, and it has a second signature at twice that size, so that documents of
 Signatures are compared only at one block size and if they share a run of GRAM characters. That rule makes the search
 an exact join on runs: equal signatures fold into one node, runs that only one node has are dropped early, buckets of
 more than BLOCK nodes are compared as pairs of blocks, and inside a bucket a breadth-first walk compares each reached node with those not yet reached, so a group of thousands of like
-documents costs a few comparisons each. Comparisons of many buckets go on together, 64 bits a step.
+documents costs a few comparisons each. Comparisons of many buckets go on together, 64 bits a step. Where thousands of unlike
+nodes share a run, most pairs are ruled out by the characters that they have in common in any order, a few words of bits a pair, and
+two nodes whose most frequent run is the same one are compared in the bucket of that run alone.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as tx
@@ -134,12 +136,20 @@ def coded(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def common(codes: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of rows a and b; masks: the places of each code in each row."""
-    v = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for j in range(int(sizes[b].max()) if len(b) else 0):
-        u = v & masks[a, codes[b, j]]
-        v = (v + u) | (v - u)
-    inside = np.where(sizes[a] >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(sizes[a], 63).astype(np.uint64)) - np.uint64(1))
-    return np.bitwise_count(~v & inside).astype(np.int64)
+    flat, out = masks.ravel(), np.zeros(len(a), np.int64)
+    for i in range(0, len(a), 4096):  # so many pairs stay in the processor's cache
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        chars, at = np.ascontiguousarray(codes[y].T), x * masks.shape[1]
+        v = np.full(len(x), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for j in range(int(sizes[y].max())):
+            u = flat.take(at + chars[j])
+            u &= v
+            rest = v - u
+            v += u
+            v |= rest
+        inside = np.where(sizes[x] >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(sizes[x], 63).astype(np.uint64)) - np.uint64(1))
+        out[i : i + 4096] = np.bitwise_count(~v & inside)
+    return out
 
 
 def masks_of(codes: np.ndarray) -> np.ndarray:
@@ -159,31 +169,57 @@ def scores(codes: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, m
     return np.minimum(value, block // LEAST * np.minimum(sizes[a], sizes[b]))
 
 
-def linked(ids: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, block: np.ndarray, alike: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats_of(codes: np.ndarray) -> list[np.ndarray]:
+    """For t = 0, 1, ... the codes that each row has more than t times, as bits."""
+    count = np.zeros((len(codes), 65), np.uint8)
+    rows = np.arange(len(codes))
+    for j in range(MOST):
+        count[rows, codes[:, j]] += 1
+    count = count[:, :64]
+    return [np.packbits(count > t, axis=1).view(np.uint64).ravel() for t in range(int(count.max()) if len(codes) else 0)]
+
+
+def possible(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, repeats: list[np.ndarray], alike: int) -> np.ndarray:
+    """Whether rows a and b have so many characters in common, in any order, that they may score `alike`."""
+    most = np.zeros(len(a), np.int64)
+    for x in repeats:
+        most += np.bitwise_count(x[a] & x[b])
+    both = sizes[a] + sizes[b]
+    return 100 - (100 * (both - 2 * most)) // np.maximum(both, 1) >= alike
+
+
+def linked(
+    ids: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, block: np.ndarray, alike: int, elsewhere: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span, in each bucket, the components of the graph of all pairs of score `alike` or more.
 
     Rows come bucket by bucket. In each round every bucket that isn't done takes one reached row, or if there is
     none a new one, and compares it with its rows that weren't reached yet; rows that were compared as first are done.
+    Pairs of rows of one number other than 0 in `elsewhere` are left out, since another bucket has them.
     """
-    masks = masks_of(codes)
+    masks, repeats = masks_of(codes), repeats_of(codes)
     n = int(bucket[-1]) + 1 if len(bucket) else 0
     left = np.arange(len(ids))  # not reached
     queue: list[list[int]] = [[] for _ in range(n)]
     out = [], []
     while len(left):
-        at = np.flatnonzero(np.r_[True, bucket[left][1:] != bucket[left][:-1]])
+        of = bucket[left]
+        at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         now = np.full(n, -1)
-        fresh = []
-        for i, b in zip(left[at], bucket[left][at], strict=True):
+        stay = np.ones(len(left), bool)
+        for k, i, b in zip(at.tolist(), left[at].tolist(), of[at].tolist(), strict=True):
             if queue[b]:
                 now[b] = queue[b].pop()
             else:
                 now[b] = i
-                fresh.append(i)
-        if fresh:
-            left = np.setdiff1d(left, fresh, assume_unique=True)
-        p = now[bucket[left]]
-        hit = scores(codes, sizes, p, left, masks, block[left]) >= alike
+                stay[k] = False
+        left, p = left[stay], now[of[stay]]
+        maybe = np.arange(len(left))
+        if elsewhere is not None:
+            maybe = np.flatnonzero((elsewhere[left] == 0) | (elsewhere[left] != elsewhere[p]))
+        maybe = maybe[possible(sizes, p[maybe], left[maybe], repeats, alike)]
+        hit = np.zeros(len(left), bool)
+        hit[maybe] = scores(codes, sizes, p[maybe], left[maybe], masks, block[left[maybe]]) >= alike
         out[0].append(ids[p[hit]])
         out[1].append(ids[left[hit]])
         for i in left[hit]:
@@ -215,7 +251,7 @@ def grams(nodes: DataFrame) -> DataFrame:
 
 
 def _edges(buckets: DataFrame, alike: int) -> DataFrame:
-    """(a, b) of buckets (ids, block, sigs)."""
+    """(a, b) of buckets (members: rep, block, sig, elsewhere)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +260,7 @@ def _edges(buckets: DataFrame, alike: int) -> DataFrame:
             inner = members.flatten()
             ids, block = inner.field("rep").to_numpy(), inner.field("block").to_numpy()
             codes, sizes = coded(inner.field("sig"))
-            a, b = linked(ids, codes, sizes, np.repeat(np.arange(len(count)), count), block, alike)
+            a, b = linked(ids, codes, sizes, np.repeat(np.arange(len(count)), count), block, alike, inner.field("elsewhere").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return buckets.select("members").mapInArrow(run, "a long, b long").distinct()
@@ -252,6 +288,9 @@ def grouped(docs: DataFrame, alike: int = ALIKE) -> DataFrame:
     first = short.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     equal = short.join(first, names).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     members = in_blocks(grams(nodes), "gram", BLOCK).join(nodes.select("id", "rep", "block", "sig"), "id")
-    buckets = members.groupBy("key", "x", "y").agg(F.collect_list(F.struct("rep", "block", "sig")).alias("members"))
+    # the largest bucket of each node compares it with the nodes whose largest it is too; the others need not
+    largest = F.max(F.struct("n", "key")).over(Window.partitionBy("id"))["key"]
+    members = members.withColumn("largest", largest).withColumn("elsewhere", F.when(F.col("largest") == F.col("key"), 0).otherwise(F.col("largest")))
+    buckets = members.groupBy("key", "x", "y").agg(F.collect_list(F.struct("rep", "block", "sig", "elsewhere")).alias("members"))
     groups = components(_edges(buckets, alike).unionByName(copies).unionByName(equal), "signature-stars")
     return found.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", "block_size", "signature", "double_signature", F.coalesce("group", "doc_id").alias("group_id"))

@@ -119,7 +119,7 @@ def verified(buckets: DataFrame, similar: float) -> DataFrame:
 
 
 def in_blocks(entries: DataFrame, key: str, block: int) -> DataFrame:
-    """(key, x, y, id): buckets of the ids of entries (id, key), each pair once, where two ids or more share a key.
+    """(key, x, y, id, n): buckets of the ids of entries (id, key), each pair once, where two ids or more share a key; n of them.
 
     Keys are counted first, with partial sums, and only rows of keys that two ids share are written. Keys of the same ids
     make one bucket: of each only two 64-bit sums of their hashes are gathered, so no bucket is ever one row. A bucket of
@@ -130,11 +130,11 @@ def in_blocks(entries: DataFrame, key: str, block: int) -> DataFrame:
     common = written(entries.join(shared, key).select(key, "id", "n"), "shared-keys")
     one = common.groupBy(key, "n").agg(F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("h2"))
     kept = one.groupBy("n", "h1", "h2").agg(F.min(key).alias(key)).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    found = common.join(kept, key).select(F.col(key).alias("key"), "id", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int").alias("own"))
+    found = common.join(kept, key).select(F.col(key).alias("key"), "id", "n", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int").alias("own"))
     # a block meets each other block once; one that is alone meets itself
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
-    found = found.select("key", "id", "own", other.alias("other"))
-    return found.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id")
+    found = found.select("key", "id", "n", "own", other.alias("other"))
+    return found.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:

@@ -155,3 +155,21 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: r["group_id"] for r in fp.grouped(docs).collect()}
     assert got == groups({i: plain(t.encode()) for i, t in rows}, dict(rows))
+
+
+def test_unlike_signatures_of_one_bucket_are_hardly_aligned(monkeypatch):
+    """Signatures that share one run only are told apart without aligning them, and not again in another bucket."""
+    r, aligned = np.random.default_rng(5), []
+    plain = fp.common
+    monkeypatch.setattr(fp, "common", lambda codes, sizes, a, b, masks: aligned.append(len(a)) or plain(codes, sizes, a, b, masks))
+    letters = [chr(c) for c in fp.ALPHABET]
+    signs = ["SHAREDX" + "".join(r.choice(letters, 40)) for _ in range(300)]
+    signs += [s[:30] + "+" + s[31:] for s in signs[:20]]
+    codes, sizes = fp.coded(pa.array(signs))
+    n = len(signs)
+    a, b = fp.linked(np.arange(n), codes, sizes, np.zeros(n, int), np.full(n, 3 << 10), fp.ALIKE)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} >= {(i, 300 + i) for i in range(20)}
+    assert sum(aligned) < n * (n - 1) / 2 / 10
+    aligned.clear()
+    a, b = fp.linked(np.arange(n), codes, sizes, np.zeros(n, int), np.full(n, 3 << 10), fp.ALIKE, np.full(n, 9))
+    assert not len(a) and not sum(aligned)
