@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae import schema as S
 from tesserae.functions import parsing, scoring, turns, vectors
 from tesserae.functions import text as tx
+from tesserae.operators import similarity
 from tesserae.queries.prelude import NOW, sql
 from tesserae.sources import fixtures as fx
 
@@ -71,9 +72,7 @@ def shown_texts(spark, d):
 
 
 def near_duplicate_pairs(spark, d):
-    m = fx.memories_with_docs(spark, d).select("doc_id", tx.normalized(F.col("content")).alias("c"), F.substring(tx.normalized(F.col("content")), 1, 40).alias("p"))
-    other = m.select(F.col("doc_id").alias("other_id"), F.col("c").alias("o"), F.col("p").alias("p"))
-    return m.join(other, "p").filter("doc_id < other_id").filter(tx.near_duplicates(F.col("c"), F.col("o"))).select("doc_id", "other_id")
+    return similarity.near_duplicate_pairs(fx.memories_with_docs(spark, d).select("doc_id", tx.normalized(F.col("content")).alias("c")))
 
 
 def file_memory_signs(spark, d):

@@ -449,3 +449,21 @@ def test_context_is_kept_only_while_nothing_changes(spark):
     assert a.assemble("green tea", "high", now(), seen) == ""
     a.assemble("green tea", "high", now() + F.expr("interval 1 day"))
     assert a.cache["key"] != key
+
+
+def test_near_duplicate_pairs_without_comparing_all_that_begin_alike(spark):
+    """As by comparing all pairs, whatever the parts that the order of texts is cut into."""
+    import random
+
+    from tesserae.functions import text as tx
+
+    head, r = "a head that thousands of texts share, ä and all ", random.Random(3)
+    texts = ["", "", "a", "a", "short", head[:39], head[:40], head[:39], *(head + "".join(r.choice("ab ") for _ in range(r.randrange(7))) for _ in range(150))]
+    texts += [head + f"{i:05d}" for i in range(3000)] + [head + "00007 and more", "z" * 3000, "z" * 2000, "z" * 999]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i < 158 or j >= 3158) and tx.near_duplicate(texts[i], texts[j])}
+    want |= {(i, j) for i in range(158, 3158) for j in range(3158, len(texts)) if tx.near_duplicate(texts[i], texts[j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, c string")
+    for parts in (1, 3, 40):
+        rows = [tuple(x) for x in similarity.near_duplicate_pairs(df, parts).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert similarity.near_duplicate_pairs(df.limit(0)).count() == 0
