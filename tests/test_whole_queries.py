@@ -75,3 +75,25 @@ def test_merges_need_a_strong_source_and_a_target(spark, tmp_path):
     rows = steps.merges(spark, d).collect()
     kept = {r["a"] for r in rows if r["kind"] == "memory" and r["value"] == 1.0}
     assert kept == {sha256(texts[ends[2][1]].encode()).hexdigest()}
+
+
+def test_ids_of_memories_move_no_texts(spark):
+    from tesserae.sources import fixtures as fx
+
+    plan = fx.ids(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "hashpartitioning(text" not in plan and "max(text" not in plan
+
+
+def test_consolidation_and_renames_write_no_contents(spark, monkeypatch):
+    from tesserae.operators import dml
+    from tesserae.plans import consolidation
+    from tesserae.queries import tables
+    from tesserae.session import written as plain
+
+    wrote = []
+    spy = lambda df, name: wrote.append((name, df.columns)) or plain(df, name)
+    monkeypatch.setattr(consolidation, "written", spy)
+    monkeypatch.setattr(dml, "written", spy, raising=False)
+    assert steps.consolidated(spark, DATA).count() == 1
+    assert tables.renames(spark, DATA).count()
+    assert "renamed-ids" in {name for name, _ in wrote} and not [x for x in wrote if {"content", "new_content"} & set(x[1])]
