@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as tx
 from tesserae.functions.columns import once
 from tesserae.operators.dml import first_of
+from tesserae.session import written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -47,12 +48,13 @@ def statistics(ix: DataFrame) -> DataFrame:
 def matches(ix: DataFrame, phrases: list[list[str]], weights: tuple[float, float] = (CONTENT_WEIGHT, TYPE_WEIGHT)) -> DataFrame:
     """(id, c_0.., s_0..): for each phrase whether a row has it, and the part that it adds to the row's score.
 
-    Statistics count every row of the index; rows that have no phrase are left out.
+    Statistics count every row of the index; rows that have no phrase are left out. The counts, a few numbers a row, are
+    written to the shared folder: statistics and scores both read them, so texts are read and parted into tokens once.
     """
     cells = {"d": F.col("size") if "size" in ix.columns else F.size("content_tokens") + F.size("type_tokens")}
     for i, p in enumerate(phrases):
         cells |= {f"a_{i}": places(F.col("content_tokens"), p), f"b_{i}": places(F.col("type_tokens"), p)}
-    counted = once(ix, "id", **cells)
+    counted = written(once(ix, "id", **cells), "counts")
     has = [(F.col(f"a_{i}") + F.col(f"b_{i}")) > 0 for i in range(len(phrases))]
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), *(F.count_if(h).alias(f"n_{i}") for i, h in enumerate(has)))
     rows = counted.filter(reduce(Column.__or__, has)).crossJoin(F.broadcast(stats))

@@ -97,3 +97,11 @@ def test_consolidation_and_renames_write_no_contents(spark, monkeypatch):
     assert steps.consolidated(spark, DATA).count() == 1
     assert tables.renames(spark, DATA).count()
     assert "renamed-ids" in {name for name, _ in wrote} and not [x for x in wrote if {"content", "new_content"} & set(x[1])]
+
+
+def test_a_search_parts_texts_into_tokens_once(spark):
+    from tesserae.operators import lexical
+    from tesserae.sources import fixtures as fx
+
+    found = lexical.waterfall(lexical.index(fx.memories_with_docs(spark, DATA)), "and the with", 20)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count()
